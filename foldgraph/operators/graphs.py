@@ -14,12 +14,6 @@ from foldgraph.functions.pairing import scan_brackets
 from foldgraph.functions.selection import dense_index, residue_roles, runs, selected_residues
 from foldgraph.spec import CORE, EDGE_CODES, MAX_LENGTH, GraphSpec
 
-GRAPH_COLUMNS = [
-    "graph_id", "molecule_id", "sequence", "structure", "start", "end", "record_ord",
-    "node_features", "edge_src", "edge_dst", "edge_types", "residue_index", "node_roles",
-    "node_count", "edge_count", "core_count", "graph_spec_sha256",
-]
-
 
 def whole_pairs(partner: Column, openers: Column) -> Column:
     """Openers and closers of a whole molecule, by opener, as struct(a, b)."""
@@ -172,6 +166,7 @@ def build_graphs(
         F.size("edge_types").alias("edge_count"),
         F.coalesce(end - start, F.length("sequence")).cast("int").alias("core_count"),
         spec_fingerprint(spec).alias("graph_spec_sha256"),
+        *[c for c in records.columns if c == "shard_id"],
     )
 
 

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from foldgraph.errors import GraphError
 from foldgraph.session import cut_lineage
@@ -141,11 +141,11 @@ def _chain(summaries, limit_a: int, limit_b: int) -> dict[int, tuple]:
     return entries
 
 
-def _assign(entries, limit_a: int, limit_b: int):
+def _assign(entries, limit_a: int, limit_b: int, names: list[str]):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = entries.value.get(TaskContext.get().partitionId())
         for batch in batches:
-            order, a, b, key = _columns(batch)
+            _, a, b, key = _columns(batch)
             if not len(a):
                 continue
             open_a, open_b, last_key, begun = state
@@ -164,31 +164,46 @@ def _assign(entries, limit_a: int, limit_b: int):
             else:
                 open_a, open_b = open_a + int(chunk.cum_a[-1]), open_b + int(chunk.cum_b[-1])
             state = (open_a, open_b, int(key[-1]), begun + int(marks.sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(part)], names=["ord", "part"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[4:], pa.array(part)], names=names)
 
     return assign
 
 
 def greedy_parts(
-    df: DataFrame, order: str, a, limit_a: int | None, b, limit_b: int | None, key=None, partitions: int | None = None
+    df: DataFrame,
+    name: str,
+    order: str,
+    a: Column,
+    limit_a: int | None,
+    b: Column,
+    limit_b: int | None,
+    key: Column | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """(ord, part) of the greedy packing by two weights, restarting where ``key`` changes.
+    """``df`` in order, with its part numbers in ``name``.
 
-    Every weight must be positive and within its limit.
+    Greedy packing by two weights, restarting where ``key`` changes. No
+    weight may be negative or above its limit. The rows are shuffled once,
+    by ranges of ``order``, and come back sorted inside those ranges.
     """
     limit_a, limit_b = (NO_LIMIT if x is None else int(x) for x in (limit_a, limit_b))
     if limit_a <= 0 or limit_b <= 0:
         raise GraphError("packing limits must be positive")
     spark = df.sparkSession
     keyed = df.select(
-        F.col(order).cast("long").alias("ord"), a.cast("long").alias("a"), b.cast("long").alias("b"),
-        (F.lit(0) if key is None else key).cast("long").alias("key"),
+        F.col(order).cast("long").alias("_ord"),
+        a.cast("long").alias("_a"),
+        b.cast("long").alias("_b"),
+        (F.lit(0) if key is None else key).cast("long").alias("_key"),
+        "*",
     )
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept = cut_lineage(keyed.repartitionByRange(count, "ord").sortWithinPartitions("ord"))
-    summaries = kept.mapInArrow(_summarise(limit_a, limit_b), SUMMARY).orderBy("pid").toLocalIterator()
+    kept = cut_lineage(keyed.repartitionByRange(count, "_ord").sortWithinPartitions("_ord"))
+    narrow = kept.select("_ord", "_a", "_b", "_key")
+    summaries = narrow.mapInArrow(_summarise(limit_a, limit_b), SUMMARY).orderBy("pid").toLocalIterator()
     entries = spark.sparkContext.broadcast(_chain(summaries, limit_a, limit_b))
-    return kept.mapInArrow(_assign(entries, limit_a, limit_b), "ord long, part long")
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+    return kept.mapInArrow(_assign(entries, limit_a, limit_b, schema.names), schema)
 
 
 def check_limits(df: DataFrame, size: str, limit: int | None, what: str, key: str = "graph_id") -> DataFrame:
@@ -207,18 +222,22 @@ def refuse_oversized(df: DataFrame, size: str, limit: int | None, what: str) ->
 def assign_shards(
     records: DataFrame, *, max_records: int, max_nodes: int | None = None, partitions: int | None = None
 ) -> DataFrame:
-    """Records with ``shard_id``; sizes count the source molecule, even for a window."""
+    """Records with ``shard_id``, sorted by it inside their partitions.
+
+    Sizes count the source molecule, even for a window.
+    """
     if max_records <= 0 or (max_nodes is not None and max_nodes <= 0):
         raise GraphError("packing limits must be positive")
     refuse_oversized(records, "length", max_nodes, "max_nodes")
-    parts = greedy_parts(records, "record_ord", F.lit(1), max_records, F.col("length"), max_nodes, partitions=partitions)
-    return records.join(parts.select(F.col("ord").alias("record_ord"), F.col("part").alias("shard_id")), "record_ord")
+    return greedy_parts(
+        records, "shard_id", "record_ord", F.lit(1), max_records, F.col("length"), max_nodes, partitions=partitions
+    )
 
 
 def assign_microbatches(
     graphs: DataFrame, *, max_batch_nodes: int = 60_000, max_batch_edges: int = 300_000, partitions: int | None = None
 ) -> DataFrame:
-    """(graph_id, shard_id, record_ord, batch_id): greedy inside each shard on nodes and edges.
+    """Sizes of each graph with ``batch_id``: greedy inside each shard on nodes and edges.
 
     ``record_ord`` must order shards as well, as it does after ``assign_shards``.
     """
@@ -227,11 +246,9 @@ def assign_microbatches(
     sized = graphs.select("graph_id", "shard_id", "record_ord", "node_count", "edge_count")
     refuse_oversized(sized, "node_count", max_batch_nodes, "max_batch_nodes")
     refuse_oversized(sized, "edge_count", max_batch_edges, "max_batch_edges")
-    parts = greedy_parts(
-        sized, "record_ord", F.col("node_count"), max_batch_nodes, F.col("edge_count"), max_batch_edges, F.col("shard_id"), partitions
-    )
-    return sized.drop("node_count", "edge_count").join(
-        parts.select(F.col("ord").alias("record_ord"), F.col("part").alias("batch_id")), "record_ord"
+    return greedy_parts(
+        sized, "batch_id", "record_ord", F.col("node_count"), max_batch_nodes, F.col("edge_count"), max_batch_edges,
+        F.col("shard_id"), partitions,
     )
 
 

@@ -35,6 +35,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a scratch table on the shared folder and read it back.
+
+    For a result that several later steps read in part: unlike a checkpoint,
+    the table can be read column by column.
+    """
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def attach(df: DataFrame, side: DataFrame, keys: list[str], side_rows: int, how: str = "inner") -> DataFrame:
     """Join ``side`` onto ``df``; broadcast it only when its row count is small."""
     return df.join(F.broadcast(side) if side_rows <= BROADCAST_ROWS else side, keys, how)
