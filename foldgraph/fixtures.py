@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foldgraph.session import spread
+from foldgraph.spec import EncoderShape
 
 PIECE = 400
 
@@ -77,3 +78,33 @@ def rna_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
             "when 10 then replace(secondary_structure, '....', '.[].') else secondary_structure end"
         ).alias("secondary_structure"),
     )
+
+
+def weights_from_embeddings(spark: SparkSession, sf_dir: str, shape: EncoderShape) -> DataFrame:
+    """A weight table cut from the supplied ``embeddings``, rounded to 1/64.
+
+    Every row of a tensor takes one vector, by its number in the whole table
+    of rows; wider rows repeat it. Gains are 1 and variances positive.
+    """
+    sizes, first = [], 0
+    for name, (rows, width) in shape.tensors().items():
+        sizes.append((name, first, rows, width))
+        first += rows
+    table = spark.createDataFrame(sizes, "tensor string, first long, rows int, width int")
+    table = table.select("tensor", "first", "width", F.explode(F.expr("sequence(0, rows - 1)")).alias("row"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    count = vectors.count()
+    table = table.withColumn("vec_id", F.expr(f"(first + row) % {count}"))
+    value = F.expr(
+        "transform(sequence(0, width - 1), c -> cast(case "
+        "when tensor like '%mlp.1.weight' or tensor like 'norms.%.weight' then 1 "
+        "when tensor like '%.running_var' then 1 + abs(round(embedding[c % size(embedding)] * 64)) / 64 "
+        "else round(embedding[c % size(embedding)] * 64) / 64 end as float))"
+    )
+    return table.join(vectors, "vec_id").select("tensor", "row", value.alias("values"))
+
+
+def write_table(rows: DataFrame, path: str, delimiter: str = "\t") -> str:
+    """Rows as delimited text with a header in every file; blank cells stay blank."""
+    rows.write.option("sep", delimiter).option("header", True).option("emptyValue", "").csv(path)
+    return path
