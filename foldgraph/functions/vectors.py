@@ -71,8 +71,9 @@ def layer_norm(vector: Column, gain: np.ndarray, shift: np.ndarray) -> Column:
 
 def batch_norm_eval(vector: Column, gain, shift, mean, variance) -> Column:
     """Batch norm with running statistics, folded into one factor and one offset."""
-    factor = np.ravel(gain) / np.sqrt(np.ravel(variance) + BATCH_NORM_EPS)
-    offset = np.ravel(shift) - np.ravel(mean) * factor
+    gain, shift, mean, variance = (np.ravel(x).astype(np.float64) for x in (gain, shift, mean, variance))
+    factor = gain / np.sqrt(variance + BATCH_NORM_EPS)
+    offset = shift - mean * factor
     return F.zip_with(F.zip_with(vector, literal(factor), lambda v, f: v * f), literal(offset), lambda v, o: v + o)
 
 

@@ -14,10 +14,14 @@ from foldgraph.functions.arrays import first_n
 from foldgraph.spec import CONTEXT, CORE, FORMAT_VERSION, EncoderShape, GraphSpec
 
 
-def broken_rules(rules: list[tuple[str, Column]]) -> Column:
-    """Names of the rules whose condition holds, in order."""
+def broken_rules(df: DataFrame, rules: list[tuple[str, Column]], *keys: str) -> DataFrame:
+    """(keys, rule): one row for each rule whose condition holds.
+
+    The rules are exploded, not filtered: a filter would be pushed below the
+    columns it reads, and these be computed once more for it.
+    """
     flagged = [F.when(F.coalesce(test, F.lit(True)), F.lit(name)) for name, test in rules]
-    return F.filter(F.array(*flagged), lambda x: x.isNotNull())
+    return df.select(*keys, F.explode(F.filter(F.array(*flagged), lambda x: x.isNotNull())).alias("rule"))
 
 
 def not_increasing(values: Column) -> Column:
@@ -48,8 +52,8 @@ def _graph_rules(spec: GraphSpec) -> list[tuple[str, Column]]:
 
 
 def check_graphs(graphs: DataFrame, spec: GraphSpec = GraphSpec()) -> DataFrame:
-    """(graph_id, rules) of graphs that break the per-graph contract."""
-    return graphs.select("graph_id", broken_rules(_graph_rules(spec)).alias("rules")).where("size(rules) > 0")
+    """(graph_id, rule) for every rule of the per-graph contract a graph breaks."""
+    return broken_rules(graphs, _graph_rules(spec), "graph_id")
 
 
 def check_unique_ids(records: DataFrame, *scope: str) -> DataFrame:
@@ -66,7 +70,7 @@ def check_values(graphs: DataFrame) -> DataFrame:
         ("not_finite", F.exists("node_features", lambda f: F.exists(f, strange))),
         ("crossing_edge", F.exists(F.concat("edge_src", "edge_dst"), lambda x: (x < 0) | (x >= n))),
     ]
-    return graphs.select("graph_id", broken_rules(rules).alias("rules")).where("size(rules) > 0")
+    return broken_rules(graphs, rules, "graph_id")
 
 
 def check_spec(graphs: DataFrame, spec: GraphSpec = GraphSpec()) -> DataFrame:
@@ -92,8 +96,7 @@ def shard_counts(graphs: DataFrame) -> DataFrame:
 
 def check_shards(graphs: DataFrame, spec: GraphSpec = GraphSpec(), max_nodes: int = 2**31 - 1) -> DataFrame:
     """(shard_id, rule, rows): per-graph faults by shard, repeated ids, mixed contracts, size."""
-    faults = graphs.select("shard_id", F.explode(broken_rules(_graph_rules(spec))).alias("rule"))
-    faults = faults.groupBy("shard_id", "rule").agg(F.count(F.lit(1)).alias("rows"))
+    faults = broken_rules(graphs, _graph_rules(spec), "shard_id").groupBy("shard_id", "rule").agg(F.count(F.lit(1)).alias("rows"))
     # Counting per id first combines the copies of one id before the shuffle.
     repeats = check_unique_ids(graphs, "shard_id").groupBy("shard_id").agg(F.count(F.lit(1)).alias("rows"))
     repeats = repeats.select("shard_id", F.lit("duplicate_identifier").alias("rule"), "rows")
@@ -113,18 +116,16 @@ def check_offsets(offsets: DataFrame) -> DataFrame:
 
 
 def check_manifest(graphs: DataFrame, manifest: DataFrame, spec: GraphSpec | None = None) -> DataFrame:
-    """(shard_id, rules) of shards that differ from their manifest row."""
+    """(shard_id, rule) of shards that differ from their manifest row."""
     stored = shard_counts(graphs).select("shard_id", *[F.col(c).alias(f"found_{c}") for c in ("record_count", "node_count", "edge_count")])
     both = stored.join(manifest, "shard_id", "full_outer")
-    rules = [
-        ("not_in_manifest", F.col("format_version").isNull()),
-        ("no_data", F.col("found_record_count").isNull()),
-        ("version", F.col("format_version") != FORMAT_VERSION),
-    ]
-    rules += [(c, F.col(f"found_{c}") != F.col(c)) for c in ("record_count", "node_count", "edge_count")]
+    unlisted, empty = F.col("format_version").isNull(), F.col("found_record_count").isNull()
+    rules = [("not_in_manifest", unlisted), ("no_data", empty), ("version", ~unlisted & (F.col("format_version") != FORMAT_VERSION))]
+    for c in ("record_count", "node_count", "edge_count"):
+        rules.append((c, ~unlisted & ~empty & (F.col(f"found_{c}") != F.col(c))))
     if spec is not None:
-        rules.append(("contract", F.col("graph_spec_sha256") != spec.fingerprint))
-    return both.select("shard_id", broken_rules(rules).alias("rules")).where("size(rules) > 0")
+        rules.append(("contract", ~unlisted & (F.col("graph_spec_sha256") != spec.fingerprint)))
+    return broken_rules(both, rules, "shard_id")
 
 
 def check_columns(present: list[str], required: list[str], optional: list[str] = ()) -> None:

@@ -214,9 +214,11 @@ def check_limits(df: DataFrame, size: str, limit: int | None, what: str, key: st
 
 
 def refuse_oversized(df: DataFrame, size: str, limit: int | None, what: str) -> None:
-    bad = check_limits(df, size, limit, what).limit(1).collect()
-    if bad:
-        raise GraphError(f"{bad[0][0]} has size {bad[0]['size']}, above {what}={limit}")
+    if limit is None:
+        return
+    largest = df.agg(F.max(F.struct(F.col(size).alias("size"), F.col("graph_id").alias("id"))).alias("top")).first().top
+    if largest is not None and largest["size"] > limit:
+        raise GraphError(f"{largest['id']} has size {largest['size']}, above {what}={limit}")
 
 
 def assign_shards(
