@@ -13,9 +13,6 @@ from pyspark.sql import Column, functions as F
 from foldgraph.functions.arrays import first_n, let
 from foldgraph.spec import CONTEXT, CORE
 
-NO_INTS = F.array().cast("array<int>")
-
-
 def window_residues(start: Column, end: Column) -> Column:
     return F.sequence(start, end - 1)
 

@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from foldgraph.errors import GraphError
@@ -43,7 +42,7 @@ def _part_ends(cum_a, cum_b, resets, at, limit_a, limit_b):
 
 
 def _columns(batch: pa.RecordBatch):
-    return (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+    return (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
 
 
 class _Chunk:
@@ -86,9 +85,10 @@ def _summarise(limit_a: int, limit_b: int):
         first_key = last_key = None
         growing = True
         for batch in batches:
-            _, a, b, key = _columns(batch)
+            a, b, key = _columns(batch)
             if not len(a):
                 continue
+            pid = batch.column(3)[0].as_py()
             chunk = _Chunk(a, b, key, last_key)
             if len(out_a):
                 at = chunk.first_start(out_a, out_b, limit_a, limit_b)
@@ -114,8 +114,7 @@ def _summarise(limit_a: int, limit_b: int):
             lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (pre_a, pre_b, out_a, out_b, starts)]
             scalars = [pa.array([x], pa.int64()) for x in (total_a, total_b, rows, first_key, last_key)]
             names = ["pid", "pre_a", "pre_b", "out_a", "out_b", "starts", "total_a", "total_b", "rows", "first_key", "last_key"]
-            pid = pa.array([TaskContext.get().partitionId()], pa.int32())
-            yield pa.RecordBatch.from_arrays([pid, *lists, *scalars], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), *lists, *scalars], names=names)
 
     return summarise
 
@@ -143,11 +142,12 @@ def _chain(summaries, limit_a: int, limit_b: int) -> dict[int, tuple]:
 
 def _assign(entries, limit_a: int, limit_b: int, names: list[str]):
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = entries.value.get(TaskContext.get().partitionId())
+        state = None
         for batch in batches:
-            _, a, b, key = _columns(batch)
+            a, b, key = _columns(batch)
             if not len(a):
                 continue
+            state = entries.value[batch.column(3)[0].as_py()] if state is None else state
             open_a, open_b, last_key, begun = state
             chunk = _Chunk(a, b, key, last_key)
             if last_key is None:
@@ -191,15 +191,18 @@ def greedy_parts(
         raise GraphError("packing limits must be positive")
     spark = df.sparkSession
     keyed = df.select(
-        F.col(order).cast("long").alias("_ord"),
+        F.col(order).alias("_ord"),
         a.cast("long").alias("_a"),
         b.cast("long").alias("_b"),
         (F.lit(0) if key is None else key).cast("long").alias("_key"),
         "*",
     )
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept = cut_lineage(keyed.repartitionByRange(count, "_ord").sortWithinPartitions("_ord"))
-    narrow = kept.select("_ord", "_a", "_b", "_key")
+    arranged = keyed.repartitionByRange(count, "_ord").sortWithinPartitions("_ord").drop("_ord")
+    # The range a row lies in is kept with it: later tasks may be numbered otherwise.
+    here = F.spark_partition_id()
+    kept = cut_lineage(arranged.select("_a", "_b", "_key", here.alias("_pid"), *df.columns))
+    narrow = kept.select("_a", "_b", "_key", "_pid")
     summaries = narrow.mapInArrow(_summarise(limit_a, limit_b), SUMMARY).orderBy("pid").toLocalIterator()
     entries = spark.sparkContext.broadcast(_chain(summaries, limit_a, limit_b))
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])

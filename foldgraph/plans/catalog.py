@@ -761,14 +761,13 @@ def sharded_by_document(spark, sf) -> DataFrame:
     row_number() over (order by record_ord) as rn from rec),
 sums as (select *, sum(n) over (order by rn) as nodes, sum(m) over (order by rn) as edges from ordered),
 follow as (
-  select a.rn, min(b.rn) as next from sums a join sums b on b.rn > a.rn and b.rn <= a.rn + {O.BATCH_NODES} // 1
-    and (b.shard_id <> a.shard_id or b.nodes - a.nodes + a.n > {O.BATCH_NODES} or b.edges - a.edges + a.m > {O.BATCH_EDGES})
-    and b.rn <= a.rn + 400 group by a.rn),
+  select a.rn, min(b.rn) as next from sums a join sums b on b.shard_id = a.shard_id
+  where b.rn > a.rn and (b.nodes - a.nodes + a.n > {O.BATCH_NODES} or b.edges - a.edges + a.m > {O.BATCH_EDGES}) group by a.rn),
 heads as (
-  with recursive h(rn, batch_id) as (
-    select cast(1 as bigint), cast(0 as bigint) union all select follow.next, h.batch_id + 1 from h join follow on follow.rn = h.rn)
+  with recursive h(rn) as (
+    select min(rn) as rn from ordered group by shard_id union all select follow.next from h join follow on follow.rn = h.rn)
   select * from h),
-spans as (select rn as low, lead(rn, 1, 9223372036854775807) over (order by rn) as high, batch_id from heads)
+spans as (select rn as low, lead(rn, 1, 9223372036854775807) over (order by rn) as high, row_number() over (order by rn) - 1 as batch_id from heads)
 select o.graph_id, o.shard_id, s.batch_id from ordered o join spans s on o.rn >= s.low and o.rn < s.high"""
 )
 def assign_microbatches(spark, sf):

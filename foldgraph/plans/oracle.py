@@ -148,9 +148,11 @@ rejects as (
 SHARDS = f""",
 ordered as (
   select graph_id, record_ord, n, row_number() over (order by record_ord) as rn, sum(n) over (order by record_ord) as upto from rec),
+steps as (select unnest(range(1, {SHARD_RECORDS} + 1)) as step),
+ahead as (select rn, n, upto, rn + step as to_rn, step from ordered cross join steps),
 follow as (
-  select a.rn, min(b.rn) as next from ordered a join ordered b on b.rn > a.rn and b.rn <= a.rn + {SHARD_RECORDS}
-    and (b.rn = a.rn + {SHARD_RECORDS} or b.upto - a.upto + a.n > {SHARD_NODES}) group by a.rn),
+  select a.rn, min(b.rn) as next from ahead a join ordered b on b.rn = a.to_rn
+  where a.step = {SHARD_RECORDS} or b.upto - a.upto + a.n > {SHARD_NODES} group by a.rn),
 heads as (
   with recursive h(rn, shard_id) as (
     select cast(1 as bigint), cast(0 as bigint) union all select follow.next, h.shard_id + 1 from h join follow on follow.rn = h.rn)
