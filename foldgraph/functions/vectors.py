@@ -32,10 +32,6 @@ def relu(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.greatest(x, F.lit(0.0)))
 
 
-def dot(left: Column, right: Column) -> Column:
-    return fold(F.zip_with(left, right, lambda x, y: x * y), lambda x: x)
-
-
 def add(left: Column, right: Column) -> Column:
     return F.zip_with(left, right, lambda x, y: x + y)
 
@@ -49,8 +45,18 @@ def literal(values) -> Column:
 
 
 def linear(vector: Column, weight: np.ndarray, bias: np.ndarray) -> Column:
-    """weight @ vector + bias with literal weights; meant for small layers."""
-    return F.array(*[dot(vector, literal(row)) + F.lit(float(b)) for row, b in zip(weight, np.ravel(bias))])
+    """weight @ vector + bias with literal weights; meant for small layers.
+
+    Plain arithmetic on the elements, which stays in generated code.
+    """
+
+    def row(values, offset):
+        total = F.lit(float(offset))
+        for i, value in enumerate(values):
+            total = total + F.get(vector, F.lit(i)) * F.lit(float(value))
+        return total
+
+    return F.array(*[row(values, offset) for values, offset in zip(weight, np.ravel(bias))])
 
 
 def layer_norm(vector: Column, gain: np.ndarray, shift: np.ndarray) -> Column:

@@ -3,8 +3,7 @@
 Graphs are independent of each other, so encoding needs no shuffle: every
 partition streams its graphs through Arrow, gathers them into microbatches
 bounded by nodes and edges, and runs the layers as NumPy matrix products. The
-same layer as joins and sums over node and edge tables is
-``encode_relational``; the two are tested against each other.
+same layers by explode, sum and group are ``encode_relational``; the two are tested against each other.
 
 No trained weights come with this package. They are a table
 ``(tensor string, row int, values array<float>)`` the caller supplies.
@@ -20,11 +19,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from foldgraph.errors import GraphError
 from foldgraph.functions import vectors as V
+from foldgraph.functions.arrays import first_n
 from foldgraph.operators.checks import check_weights, require_clean, require_spec
 from foldgraph.operators.packing import refuse_oversized
 from foldgraph.session import cut_lineage
 from foldgraph.spec import CORE, EncoderShape
 
+# Layers run fastest on blocks that stay in the processor's cache, so the node
+# limit of a microbatch is used up to this size.
+BLOCK_NODES = 8192
+
 NEEDED = ["node_features", "edge_src", "edge_dst", "edge_types", "residue_index", "node_roles"]
 PASSED = ["graph_id", "length", "start", "end", "node_count"]
 
@@ -57,22 +61,31 @@ def _batch_norm(w, name, x):
     return (x - w[f"{name}.running_mean"]) * factor + w[f"{name}.bias"]
 
 
+def _by_kind(src, dst, kind):
+    """Edges of each kind, and whether no node receives two of that kind."""
+    groups = []
+    for code in np.unique(kind):
+        at = np.flatnonzero(kind == code)
+        groups.append((code, src[at], dst[at], np.bincount(dst[at]).max() == 1))
+    return groups
+
+
 def _run_layers(w, shape: EncoderShape, features, src, dst, kind):
     """Embeddings of all nodes of one microbatch."""
-    # Incoming edges side by side, so a node's messages are one run of rows.
-    order = np.argsort(dst, kind="stable")
-    src, dst, kind = src[order], dst[order], kind[order]
-    receivers, begins = np.unique(dst, return_index=True)
+    groups = _by_kind(src, dst, kind)
     h = _affine(w, "input", features)
     for k in range(shape.layers):
         conv = f"convs.{k}"
         by_kind = w[f"{conv}.edge_lin.weight"].T + w[f"{conv}.edge_lin.bias"]
         total = (1 + w[f"{conv}.eps"][0, 0]) * h
-        if len(src):
-            messages = h[src]
-            messages += by_kind[kind]
+        for code, senders, receivers, single in groups:
+            messages = h[senders]
+            messages += by_kind[code]
             np.maximum(messages, 0, out=messages)
-            total[receivers] += np.add.reduceat(messages, begins, axis=0)
+            if single:
+                total[receivers] += messages
+            else:
+                np.add.at(total, receivers, messages)
         inner = np.maximum(_batch_norm(w, f"{conv}.mlp.1", _affine(w, f"{conv}.mlp.0", total)), 0)
         update = _layer_norm(w, f"norms.{k}", _affine(w, f"{conv}.mlp.4", inner))
         h = h + update if shape.residual else update
@@ -149,8 +162,8 @@ def encode(
         for batch in batches:
             nodes = batch["residue_index"].value_lengths().to_numpy(zero_copy_only=False)
             edges = batch["edge_src"].value_lengths().to_numpy(zero_copy_only=False)
-            at = 0
-            for end in _batch_ends(nodes, edges, max_batch_nodes, max_batch_edges):
+            at, block = 0, min(max_batch_nodes, max(BLOCK_NODES, int(nodes.max(initial=0))))
+            for end in _batch_ends(nodes, edges, block, max_batch_edges):
                 rows = batch.slice(at, end - at)
                 residues, matrix = _encode_rows(held.value, shape, rows, half, out_type)
                 passed = [rows[name] for name in PASSED]
@@ -197,9 +210,31 @@ def filter_core(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("node_role") == CORE)
 
 
-def gather_sources(edges: DataFrame, states: DataFrame) -> DataFrame:
-    """Each edge with the state ``h`` of its source node."""
-    return edges.join(states.select("graph_id", F.col("node_idx").alias("src"), "h"), ["graph_id", "src"])
+def with_states(graphs: DataFrame, held: dict[str, np.ndarray]) -> DataFrame:
+    """Graphs with the input state ``h`` of each node."""
+    weight, bias = held["input.weight"], held["input.bias"]
+    return graphs.withColumn("h", F.transform("node_features", lambda f: V.linear(f.cast("array<double>"), weight, bias)))
+
+
+def _sent(graphs: DataFrame, received) -> DataFrame:
+    """Rows (graph_id, dst, edge_type, h) for entries struct(src, dst, edge_type).
+
+    A graph holds its own node states, so a source is looked up in the row:
+    no join, and no row leaves its task.
+    """
+    return graphs.select("graph_id", "h", F.explode(received).alias("e")).select(
+        "graph_id", F.col("e.dst").alias("dst"), F.col("e.edge_type").alias("edge_type"), F.get("h", F.col("e.src")).alias("h")
+    )
+
+
+def _edge_entries():
+    zipped = F.arrays_zip(F.col("edge_src").alias("src"), F.col("edge_dst").alias("dst"), F.col("edge_types").alias("edge_type"))
+    return zipped.cast("array<struct<src:int,dst:int,edge_type:tinyint>>")
+
+
+def gather_sources(graphs: DataFrame) -> DataFrame:
+    """Each edge with the state of its source node."""
+    return _sent(graphs, _edge_entries())
 
 
 def edge_type_lookup(edges: DataFrame, by_kind: np.ndarray) -> DataFrame:
@@ -208,31 +243,37 @@ def edge_type_lookup(edges: DataFrame, by_kind: np.ndarray) -> DataFrame:
     return edges.withColumn("w", F.get(table, F.col("edge_type").cast("int")))
 
 
-def neighbour_sum(edges: DataFrame, states: DataFrame, by_kind: np.ndarray) -> DataFrame:
+def neighbour_sum(graphs: DataFrame, by_kind: np.ndarray) -> DataFrame:
     """(graph_id, node_idx, h, agg): sum over incoming edges of relu(h_src + w_kind).
 
-    Components are summed as columns, so partial sums are combined before the
-    shuffle and no array is exploded. A node without incoming edges gets zeros.
+    Every node also sends its own state to itself, without a kind, so one
+    grouping gives state and sum together and a node without edges gets zeros.
+    Components are summed as columns. A graph's messages all arise in one
+    task, so they are combined there before the shuffle.
     """
     size = by_kind.shape[1]
-    sent = edge_type_lookup(gather_sources(edges, states), by_kind)
-    terms = [F.greatest(F.col("h")[i] + F.col("w")[i], F.lit(0.0)).alias(f"m{i}") for i in range(size)]
-    summed = sent.select("graph_id", F.col("dst").alias("node_idx"), *terms)
-    summed = summed.groupBy("graph_id", "node_idx").agg(*[F.sum(f"m{i}").alias(f"m{i}") for i in range(size)])
-    total = F.array(*[F.coalesce(F.col(f"m{i}"), F.lit(0.0)) for i in range(size)])
-    return states.join(summed, ["graph_id", "node_idx"], "left").select("graph_id", "node_idx", "h", total.alias("agg"))
-
-
-def input_states(nodes: DataFrame, held: dict[str, np.ndarray]) -> DataFrame:
-    h = V.linear(F.col("features").cast("array<double>"), held["input.weight"], held["input.bias"])
-    return nodes.select("graph_id", "node_idx", h.alias("h"))
+    itself = F.transform(
+        first_n(F.col("node_count")),
+        lambda k: F.struct(k.alias("src"), k.alias("dst"), F.lit(None).cast("tinyint").alias("edge_type")),
+    )
+    sent = edge_type_lookup(_sent(graphs, F.concat(_edge_entries(), itself)), by_kind)
+    own = F.col("edge_type").isNull()
+    terms = []
+    for i in range(size):
+        terms.append(F.max(F.when(own, F.col("h")[i])).alias(f"h{i}"))
+        terms.append(F.sum(F.when(own, 0.0).otherwise(F.greatest(F.col("h")[i] + F.col("w")[i], F.lit(0.0)))).alias(f"a{i}"))
+    summed = sent.groupBy("graph_id", "dst").agg(*terms)
+    return summed.select(
+        "graph_id", F.col("dst").alias("node_idx"),
+        F.array(*[f"h{i}" for i in range(size)]).alias("h"), F.array(*[f"a{i}" for i in range(size)]).alias("agg"),
+    )
 
 
-def conv_layer(edges: DataFrame, states: DataFrame, held: dict[str, np.ndarray], k: int, residual: bool = True) -> DataFrame:
-    """One layer as joins and sums: (graph_id, node_idx, h)."""
+def conv_layer(graphs: DataFrame, held: dict[str, np.ndarray], k: int, residual: bool = True) -> DataFrame:
+    """One layer over graphs with states: (graph_id, node_idx, h)."""
     conv = f"convs.{k}"
     by_kind = held[f"{conv}.edge_lin.weight"].T + held[f"{conv}.edge_lin.bias"]
-    summed = neighbour_sum(edges, states, by_kind)
+    summed = neighbour_sum(graphs, by_kind)
     own = V.scale(F.col("h"), F.lit(1.0 + float(held[f"{conv}.eps"][0, 0])))
     mixed = summed.withColumn("t", V.add(own, F.col("agg")))
     inner = V.linear(F.col("t"), held[f"{conv}.mlp.0.weight"], held[f"{conv}.mlp.0.bias"])
@@ -243,22 +284,28 @@ def conv_layer(edges: DataFrame, states: DataFrame, held: dict[str, np.ndarray],
     return mixed.select("graph_id", "node_idx", (V.add(F.col("h"), update) if residual else update).alias("h"))
 
 
-def encode_relational(nodes: DataFrame, edges: DataFrame, weights: DataFrame, shape: EncoderShape) -> DataFrame:
-    """The whole encoder on node and edge tables: (graph_id, residue_index, embedding).
+def nest_states(states: DataFrame) -> DataFrame:
+    """(graph_id, h): node states back in one row per graph; bounded by the molecule."""
+    rows = F.array_sort(F.collect_list(F.struct("node_idx", "h")))
+    return states.groupBy("graph_id").agg(rows.alias("r")).select("graph_id", F.col("r.h").alias("h"))
+
+
+def encode_relational(graphs: DataFrame, weights: DataFrame, shape: EncoderShape) -> DataFrame:
+    """The encoder by explode, sum and group: (graph_id, residue_index, embedding).
 
     Meant for small layer sizes and for checking :func:`encode`.
     """
     held = load_weights(weights, shape)
-    states = input_states(nodes, held)
+    current = with_states(graphs, held)
     for k in range(shape.layers):
-        # A layer reads its input twice; without a cut the plan doubles with each.
-        states = cut_lineage(conv_layer(edges, states, held, k, shape.residual))
-    head = V.relu(V.linear(F.col("h"), held["head.0.weight"], held["head.0.bias"]))
-    out = V.l2_normalize(V.linear(head, held["head.2.weight"], held["head.2.bias"]))
-    core = filter_core(nodes).select("graph_id", "node_idx", "residue_index")
-    return states.select("graph_id", "node_idx", out.alias("embedding")).join(core, ["graph_id", "node_idx"]).select(
-        "graph_id", "residue_index", "embedding"
-    )
+        states = nest_states(conv_layer(current, held, k, shape.residual))
+        # The plan of a layer holds that of the one before; cut it to keep it short.
+        current = cut_lineage(current.drop("h").join(states, "graph_id"))
+    nodes = current.select("graph_id", F.explode(F.arrays_zip("residue_index", "node_roles", "h")).alias("n"))
+    core = filter_core(nodes.select("graph_id", "n.residue_index", F.col("n.node_roles").alias("node_role"), "n.h"))
+    core = core.withColumn("head", V.relu(V.linear(F.col("h"), held["head.0.weight"], held["head.0.bias"])))
+    core = core.withColumn("out", V.linear(F.col("head"), held["head.2.weight"], held["head.2.bias"]))
+    return core.select("graph_id", "residue_index", V.l2_normalize(F.col("out")).alias("embedding"))
 
 
 def formula_weights(spark, shape: EncoderShape) -> DataFrame:

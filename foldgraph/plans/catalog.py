@@ -832,10 +832,10 @@ def concat_graphs(spark, sf):
 
 
 def small_parts(spark, sf):
-    """Graphs, weights and input states of the four-wide encoder."""
+    """Graphs with input states, and weights, of the four-wide encoder."""
     g = G.build_graphs(full_records(spark, sf), O.SMALL.spec)
     held = encoder.load_weights(fixtures.weights_from_embeddings(spark, sf, O.SMALL), O.SMALL)
-    return G.unpack_edges(g), encoder.input_states(G.unpack_nodes(g), held), held
+    return encoder.with_states(g, held), held
 
 
 LAYER = f"with {O.RNA}{O.EDGES},\n{O.layer_sql()}"
@@ -847,26 +847,26 @@ EXACT = "cast(sum({x} * 4096) as bigint) as {n}"
     + f"select graph_id, {EXACT.format(x='h0', n='s0')}, {EXACT.format(x='h3', n='s3')} from sent group by graph_id"
 )
 def gather_sources(spark, sf):
-    edges, states, _ = small_parts(spark, sf)
-    sent = encoder.gather_sources(edges, states)
+    graphs, _ = small_parts(spark, sf)
+    sent = encoder.gather_sources(graphs)
     exact = lambda i: F.sum(F.col("h")[i] * 4096).cast("long")
     return sent.groupBy("graph_id").agg(exact(0).alias("s0"), exact(3).alias("s3"))
 
 
 @query(LAYER + f" select graph_id, {EXACT.format(x='k0', n='s0')}, {EXACT.format(x='k3', n='s3')} from edg join kv using (edge_type) group by graph_id")
 def edge_type_lookup(spark, sf):
-    edges, _, held = small_parts(spark, sf)
+    graphs, held = small_parts(spark, sf)
     by_kind = held["convs.0.edge_lin.weight"].T + held["convs.0.edge_lin.bias"]
-    looked = encoder.edge_type_lookup(edges, by_kind)
+    looked = encoder.edge_type_lookup(G.unpack_edges(graphs), by_kind)
     exact = lambda i: F.sum(F.col("w")[i] * 4096).cast("long")
     return looked.groupBy("graph_id").agg(exact(0).alias("s0"), exact(3).alias("s3"))
 
 
 @query(LAYER + " select graph_id, " + ", ".join(EXACT.format(x=f"a{i} * (pos + 1)", n=f"s{i}") for i in range(4)) + " from nb group by graph_id")
 def neighbour_sum(spark, sf):
-    edges, states, held = small_parts(spark, sf)
+    graphs, held = small_parts(spark, sf)
     by_kind = held["convs.0.edge_lin.weight"].T + held["convs.0.edge_lin.bias"]
-    summed = encoder.neighbour_sum(edges, states, by_kind)
+    summed = encoder.neighbour_sum(graphs, by_kind)
     exact = lambda i: F.sum(F.col("agg")[i] * (F.col("node_idx") + 1) * 4096).cast("long").alias(f"s{i}")
     return summed.groupBy("graph_id").agg(*[exact(i) for i in range(4)])
 
@@ -876,8 +876,8 @@ def neighbour_sum(spark, sf):
     + ", ".join(f"cast(sum(cast(round(y{i} * 1000.0) as bigint)) as bigint) as s{i}" for i in range(4)) + " from layer group by graph_id"
 )
 def encode_relational(spark, sf):
-    edges, states, held = small_parts(spark, sf)
-    layer = encoder.conv_layer(edges, states, held, 0)
+    graphs, held = small_parts(spark, sf)
+    layer = encoder.conv_layer(graphs, held, 0)
     return layer.groupBy("graph_id").agg(*[F.sum(F.round(F.col("h")[i] * 1000.0).cast("long")).alias(f"s{i}") for i in range(4)])
 
 

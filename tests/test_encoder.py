@@ -34,7 +34,7 @@ def test_parameter_count(spark, weights):
 
 def test_both_formulations_agree(graphs, weights):
     direct = matrices(E.encode(graphs, weights, SHAPE, embedding_dtype="float64"))
-    joined = E.encode_relational(G.unpack_nodes(graphs), G.unpack_edges(graphs), weights, SHAPE)
+    joined = E.encode_relational(graphs, weights, SHAPE)
     other = matrices(E.collect_matrix(joined))
     assert direct.keys() == other.keys()
     for name, x in direct.items():
