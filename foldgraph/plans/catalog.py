@@ -25,11 +25,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, name: str | None = None):
     def register(fn):
-        QUERIES[fn.__name__] = fn
+        key = name or fn.__name__
+        QUERIES[key] = fn
         if sql is not None:
-            ORACLE[fn.__name__] = sql
+            ORACLE[key] = sql
         return fn
 
     return register
@@ -101,15 +102,15 @@ def read_records(spark, sf):
 
 
 @query(
-    "select name, cast(place as bigint) as place from (values ('transcript_id', 0), ('sequence', 1), ('secondary_structure', 2), "
-    "('start', 3), ('end', 4)) t(name, place)"
+    f"with {O.RNA}, held(name, place) as (values ('transcript_id', 0), ('sequence', 1), ('secondary_structure', 2), ('start', 3), ('end', 4)), "
+    "total as (select count(*) as cells from rna) select name, cast(place as bigint) as place, cells from held, total"
 )
 def check_header(spark, sf):
     header, rows = tables.scan_table(spark, windows_table(spark, sf))
     columns = tables.check_header(header)
     used = [columns.identifier, columns.sequence, columns.structure, columns.start, columns.end]
-    named = spark.createDataFrame([(name, header.index(name)) for name in used], "name string, place long")
-    return R.require_non_empty(rows, "table").limit(0).crossJoin(named).select("name", "place").unionByName(named)
+    counted = rows.agg(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(header.index(n)).cast("long").alias("place"), F.count(F.col(f"`{n}`")).alias("cells")) for n in used]).alias("c"))
+    return counted.select(F.inline("c"))
 
 
 @query(
@@ -344,7 +345,7 @@ def check_balance(spark, sf):
 
 @query(reject_sql("empty_identifier", "identifier_break"))
 def check_identifier(spark, sf):
-    rows = fixtures.rna_dirty(spark, sf).where("(row_ord >> 16) >= 0")
+    rows = fixtures.rna_dirty(spark, sf)
     judged = R.judged_records(rows, order="row_ord", unique=False)
     bad = judged.where(F.col("fault.rule").isin("empty_identifier", "identifier_break"))
     return bad.select("row_ord", "fault.rule", "fault.message")
@@ -661,7 +662,7 @@ def pack_graphs(spark, sf):
     return edge_digest(G.pack_graphs(G.unpack_nodes(g), G.unpack_edges(g)))
 
 
-@query(f"with {O.RNA}{O.PAIRS} select graph_id, string_agg(cast(partner as varchar), ',' order by pos) as partners from par group by graph_id")
+@query(f"with {O.RNA}{O.PAIRS} select graph_id, string_agg(cast(partner as varchar), ',' order by pos) as partners from par group by graph_id", name="pair_table")
 def pair_tables(spark, sf):
     return full_records(spark, sf).select("graph_id", as_text(pair_table("structure")).alias("partners"))
 
@@ -1010,7 +1011,7 @@ def embed_graph_dataset(spark, sf):
     return manifest_rows(spark.read.json(f"{path}/manifest/records"))
 
 
-@query(f"with {O.RNA}{O.WINDOWS} select graph_id, cast(core_length as bigint) as core_length, {UNIT_SQL} from wrec")
+@query(f"with {O.RNA}{O.WINDOWS} select graph_id, cast(core_length as bigint) as core_length, {UNIT_SQL} from wrec", name="embed_arriving_shards")
 def embed_arriving(spark, sf):
     incoming, out = scratch_dir(spark), scratch_dir(spark)
     window_dataset(spark, sf, f"{incoming}/first")
