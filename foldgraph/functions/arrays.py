@@ -22,8 +22,9 @@ def first_n(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def count_if(array: Column, test: Callable[[Column], Column]) -> Column:
-    return F.size(F.filter(array, test))
+def count_value(array: Column, value: Column) -> Column:
+    """How often ``value`` occurs, in generated code rather than by a lambda."""
+    return F.size(array) - F.size(F.array_remove(array, value))
 
 
 def as_text(array: Column) -> Column:

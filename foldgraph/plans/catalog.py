@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from foldgraph import fixtures
 from foldgraph.functions import features, selection, text, vectors as V
-from foldgraph.functions.arrays import as_text, count_if
+from foldgraph.functions.arrays import as_text, count_value
 from foldgraph.functions.pairing import pair_table, scan_brackets
 from foldgraph.operators import checks, encoder, graphs as G, packing, records as R
 from foldgraph.plans import jobs, oracle as O
@@ -1031,9 +1031,7 @@ def embed_arriving(spark, sf):
 def edge_census(spark, sf):
     """Nodes, and edges of each kind, of every molecule."""
     g = G.build_graphs(full_records(spark, sf))
-
-    def of_kind(code):
-        return count_if(F.col("edge_types"), lambda t: t == code).cast("long")
-
-    kinds = [of_kind(i).alias(name) for i, name in enumerate(NAMES)]
+    kinds = [
+        count_value(F.col("edge_types"), F.lit(code).cast("tinyint")).cast("long").alias(name) for code, name in enumerate(NAMES)
+    ]
     return g.select("graph_id", F.col("node_count").cast("long").alias("nodes"), *kinds)
