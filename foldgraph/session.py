@@ -51,22 +51,26 @@ def attach(df: DataFrame, side: DataFrame, keys: list[str], side_rows: int, how:
     return df.join(F.broadcast(side) if side_rows <= BROADCAST_ROWS else side, keys, how)
 
 
-def number_rows(df: DataFrame, name: str) -> DataFrame:
+def number_rows(df: DataFrame, name: str, file: str | None = None) -> DataFrame:
     """Add a dense 0-based number in partition order, without sorting anything.
 
     One counting pass gives the rows of each partition; a row's number is its
-    place in its partition plus the rows of the partitions before it.
+    place in its partition plus the rows of the partitions before it. With
+    ``file``, the column of a source path whose files are each read by one
+    task, files follow each other by path instead.
     """
     tagged = df.withColumn("_mono", F.monotonically_increasing_id())
-    pid = F.shiftright("_mono", 33)
-    counts = sorted(tuple(r) for r in tagged.groupBy(pid.alias("pid")).count().collect())
-    offsets, total = [], 0
-    for part, rows in counts:
-        offsets.append((part, total))
-        total += rows
-    side = df.sparkSession.createDataFrame(offsets, "_pid long, _offset long")
-    numbered = attach(tagged.withColumn("_pid", pid), side, ["_pid"], len(offsets))
-    return numbered.withColumn(name, F.col("_offset") + F.col("_mono") - F.shiftleft("_pid", 33)).drop("_mono", "_pid", "_offset")
+    group = F.shiftright("_mono", 33) if file is None else F.col(file)
+    tagged = tagged.withColumn("_group", group)
+    counts = tagged.groupBy("_group").agg(F.count(F.lit(1)).alias("n"), F.min("_mono").alias("first")).collect()
+    shifts, total = [], 0
+    for row in sorted(counts, key=lambda r: r._group):
+        shifts.append((row._group, total - row.first))
+        total += row.n
+    kind = "long" if file is None else "string"
+    side = df.sparkSession.createDataFrame(shifts, f"_group {kind}, _shift long")
+    numbered = attach(tagged, side, ["_group"], len(shifts))
+    return numbered.withColumn(name, F.col("_mono") + F.col("_shift")).drop("_mono", "_group", "_shift")
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -76,3 +76,14 @@ def test_files_must_agree_on_the_header(spark, tmp_path):
         read_records(spark, str(tmp_path))
     with pytest.raises(RecordError, match="single"):
         read_records(spark, str(tmp_path), delimiter="::")
+
+
+def test_files_follow_each_other_by_path(spark, tmp_path):
+    for quoted in ("x", '"x\ny"'):
+        folder = tmp_path / ("plain" if quoted == "x" else "broken")
+        folder.mkdir()
+        for name, rows in (("b", 1), ("a", 40), ("c", 7)):
+            lines = [f"{name}{i}\tACGU\t....\t{quoted}" for i in range(rows)]
+            put(folder, "\n".join([HEAD + "\tnote", *lines]) + "\n", f"{name}.tsv")
+        got = [r.graph_id for r in read_records(spark, str(folder)).records.orderBy("record_ord").collect()]
+        assert got == [f"a{i}" for i in range(40)] + ["b0"] + [f"c{i}" for i in range(7)]
