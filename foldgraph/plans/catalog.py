@@ -667,7 +667,7 @@ def pair_tables(spark, sf):
     return full_records(spark, sf).select("graph_id", as_text(pair_table("structure")).alias("partners"))
 
 
-@query(f"with {O.RNA}{O.PAIRS} select graph_id, max(depth) as deepest, cast(sum(depth * pos) as bigint) as digest from par group by graph_id")
+@query(f"with {O.RNA}{O.PAIRS} select graph_id, cast(max(depth) as bigint) as deepest, cast(sum(depth * pos) as bigint) as digest from par group by graph_id")
 def bracket_depth(spark, sf):
     depth = G.bracket_depth(G.explode_nucleotides(full_records(spark, sf)))
     return depth.groupBy("graph_id").agg(F.max("depth").cast("long").alias("deepest"), F.sum(F.col("depth") * F.col("pos")).alias("digest"))
