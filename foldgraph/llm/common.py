@@ -104,8 +104,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         # Larger neighbours to the least one.
-        wide = both.join(least, "a").where("b > a and m < a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        wide = wide.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
+        wide = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Smaller neighbours to the least one.
         low = wide.groupBy("a").agg(F.min("b").alias("m"))
         tied = wide.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))

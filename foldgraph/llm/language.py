@@ -105,13 +105,16 @@ def fit(
     sums = both.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r.lang for r in sums})
     size = {k: np.array([next((r.n for r in sums if r.kind == k and r.lang == g), 0) for g in langs], dtype=float) for k in "wg"}
+    # What a language has not shown is equally unlikely in each, however much of it was read.
+    unseen = {k: 0.1 / (size[k].sum() + 1.0) for k in "wg"}
+    size = {k: np.maximum(v, 1.0) for k, v in size.items()}
     tables: dict[str, dict[str, np.ndarray]] = {}
     for kind, most in (("w", max_words), ("g", max_grams)):
         top = every.where((F.col("kind") == kind) & (F.col("total") >= min_count)).orderBy(F.desc("total"), "item").limit(most)
         tables[kind] = {
-            r.item: np.log((np.array([r.by.get(g, 0) for g in langs], dtype=float) + 0.1) / (size[kind] + 1.0)) for r in top.collect()
+            r.item: np.log(np.array([r.by.get(g, 0) for g in langs], dtype=float) / size[kind] + unseen[kind]) for r in top.collect()
         }
-    return Model(langs, tables["w"], tables["g"], np.log(0.1 / (size["g"] + 1.0)), longest)
+    return Model(langs, tables["w"], tables["g"], np.full(len(langs), np.log(unseen["g"])), longest)
 
 
 def predict(docs: DataFrame, model: Model | None, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
