@@ -27,26 +27,26 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return rows.join(counts, "bucket")
 
 
-def leaf_buckets(tokens: DataFrame, sets, threshold: float, small: int, depth: int, again: float) -> DataFrame:
+def leaf_buckets(chosen: DataFrame, whole_sets, threshold: float, small: int, depth: int, again: float) -> DataFrame:
     """Buckets (bucket, set, size, members) that need no further split.
 
     A bucket of at most ``small`` sets is done. The sets of a larger one choose
     further tokens, by a hash of the path so far, and meet again under the
-    longer path; ``sets()`` gives their tokens. What is still large after
+    longer path; ``whole_sets`` gives their tokens. What is still large after
     ``depth`` splits consists of sets that share most of what they have, and
     is done too: it is compared in blocks, whole.
     """
-    level = written(_buckets(tokens))
-    done = [level.where(F.col("members") <= small)]
+    level = written(_buckets(chosen))
+    done, sets = [level.where(F.col("members") <= small)], None
     for _ in range(depth):
         large = level.where(F.col("members") > small)
         if large.isEmpty():
             return _union(done)
+        if sets is None:
+            sets = whole_sets(large).select("set", "tokens")
         path = F.col("bucket")
         child = F.explode(_chosen(F.col("tokens"), lambda t: F.xxhash64(t, path), F.col("size"), again / threshold))
-        deeper = large.select("bucket", "set", "size").join(sets().select("set", "tokens"), "set").select(
-            "set", "size", F.col("bucket").alias("above"), child.alias("token")
-        )
+        deeper = large.select("bucket", "set", "size").join(sets, "set").select("set", "size", F.col("bucket").alias("above"), child.alias("token"))
         level = written(_buckets(deeper.select(F.xxhash64("above", "token").alias("bucket"), "set", "size")))
         done.append(level.where(F.col("members") <= small))
     done.append(level.where(F.col("members") > small))
@@ -61,41 +61,38 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 class _Group:
-    """The sets of one bucket, or of two blocks of a bucket."""
+    """The sets of one bucket, or of two blocks of a bucket, by some of their tokens or all."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, tokens: str):
         self.set = table.column("set").to_numpy()
-        self.name = table.column("name").to_numpy()
         self.size = table.column("size").to_numpy().astype(np.int64)
-        self.copies = table.column("copies").to_numpy()
         self.block = table.column("block").to_numpy()
-        self.at, self.tokens = list_column(table, "tokens")
+        self.at, self.tokens = list_column(table, tokens)
         self.leaf_at, self.leaves = list_column(table, "leaves")
         self.bucket = int(table.column("bucket")[0].as_py())
         self.two = bool(table.column("i")[0].as_py() != table.column("j")[0].as_py())
 
-    def pairs(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Similar pairs of which this bucket is the least that both are in."""
-        m = len(self.set)
-        return self._few(threshold) if m <= 24 else self._many(threshold)
+    def pairs(self, threshold: float, enough) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of which this bucket is the least that both are in, of sizes that can be similar, whose shared tokens are ``enough``."""
+        return self._few(threshold, enough) if len(self.set) <= 24 else self._many(threshold, enough)
 
-    def _few(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    def _few(self, threshold: float, enough) -> tuple[np.ndarray, np.ndarray]:
         left, right = [], []
         leaves = [self.leaves[a:b] for a, b in zip(self.leaf_at, self.leaf_at[1:])]
         low = [set(x[x < self.bucket].tolist()) for x in leaves]
         tokens = [self.tokens[a:b] for a, b in zip(self.at, self.at[1:])]
-        for x in range(len(self.set)):
-            for y in range(x + 1, len(self.set)):
-                small, large = sorted((self.size[x], self.size[y]))
+        size = self.size.tolist()
+        for x in range(len(size)):
+            for y in range(x + 1, len(size)):
+                small, large = (size[x], size[y]) if size[x] < size[y] else (size[y], size[x])
                 if small < threshold * large or (self.two and self.block[x] == self.block[y]) or not low[x].isdisjoint(low[y]):
                     continue
-                both = len(np.intersect1d(tokens[x], tokens[y], assume_unique=True))
-                if both >= threshold * (small + large - both):
+                if enough(len(np.intersect1d(tokens[x], tokens[y], assume_unique=True)), small, large):
                     left.append(x)
                     right.append(y)
         return np.array(left, dtype=np.int64), np.array(right, dtype=np.int64)
 
-    def _many(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    def _many(self, threshold: float, enough) -> tuple[np.ndarray, np.ndarray]:
         m = len(self.set)
         earlier = self.leaves < self.bucket
         owner = np.repeat(np.arange(m), np.diff(self.leaf_at))
@@ -108,7 +105,7 @@ class _Group:
         if not open_.any():
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         both = self._shared(self.tokens, np.repeat(np.arange(m), np.diff(self.at)))
-        return np.nonzero(open_ & (both >= threshold * (small + large - both)))
+        return np.nonzero(open_ & enough(both, small, large))
 
     def _shared(self, values: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """How many values each two sets share, some thousand values at a time."""
@@ -130,17 +127,30 @@ class _Group:
         return out
 
 
+def _promising(batches: Iterator[pa.RecordBatch], threshold: float, low: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the sets with a pair here that their least hashes do not rule out.
+
+    Of the ``low`` least hashes of two sets' union, the share in both estimates
+    their similarity, and those are among the ``low`` least of each. Half the
+    threshold is five standard deviations off for 32 hashes.
+    """
+    for table in stream_groups(batches, "bucket", "i", "j"):
+        x, y = _Group(table, "low").pairs(threshold, lambda both, small, large: both >= threshold / 2 * np.minimum(low, large))
+        if len(x):
+            yield from table.select(["bucket", "i", "j", "block", "set", "size", "leaves"]).take(np.unique(np.concatenate([x, y]))).combine_chunks().to_batches()
+
+
 def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """For each set with a link here: its links, their documents, and the least set it is tied to here."""
     for table in stream_groups(batches, "bucket", "i", "j"):
-        group = _Group(table)
-        x, y = group.pairs(threshold)
+        group, copies, name = _Group(table, "tokens"), table.column("copies").to_numpy(), table.column("name").to_numpy()
+        x, y = group.pairs(threshold, lambda both, small, large: both >= threshold * (small + large - both))
         if not len(x):
             continue
         m = len(group.set)
         texts = np.bincount(x, minlength=m) + np.bincount(y, minlength=m)
-        documents = np.bincount(x, weights=group.copies[y], minlength=m) + np.bincount(y, weights=group.copies[x], minlength=m)
-        root = group.name.copy()
+        documents = np.bincount(x, weights=copies[y], minlength=m) + np.bincount(y, weights=copies[x], minlength=m)
+        root = name.copy()
         while True:  # the least name spreads over the links
             before = root.copy()
             np.minimum.at(root, x, root[y])
@@ -149,14 +159,15 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
                 break
         linked = texts > 0
         yield pa.RecordBatch.from_arrays(
-            [pa.array(group.set[linked]), pa.array(group.name[linked]), pa.array(root[linked]), pa.array(texts[linked].astype(np.int64)),
+            [pa.array(group.set[linked]), pa.array(name[linked]), pa.array(root[linked]), pa.array(texts[linked].astype(np.int64)),
              pa.array(documents[linked].astype(np.int64))],
             names=["set", "name", "root", "texts", "documents"],
         )
 
 
 def jaccard_join(
-    docs: DataFrame, *, size: int = 5, threshold: float = 0.8, runs: int = 8, small: int = 256, depth: int = 3, again: float = 1.5, block: int = 1024
+    docs: DataFrame, *, size: int = 5, threshold: float = 0.8, runs: int = 8, small: int = 256, depth: int = 3, again: float = 1.5, block: int = 1024,
+    low: int = 32,
 ) -> DataFrame:
     """doc_id, class_id, n_links, n_texts of every row: near-duplicate classes by Jaccard similarity of word runs.
 
@@ -170,9 +181,10 @@ def jaccard_join(
     (threshold * n)`` share of their hashes are chosen; this is ``runs``
     independent samplings at once, and two similar sets meet in at least one
     bucket with probability ``1 - exp(-runs)``. Large buckets split again by
-    further tokens (:func:`leaf_buckets`). Pairs that meet are compared by
-    their whole sets; a pair that meets in many buckets is compared only in
-    the least of them. Nothing is capped: a bucket that cannot be split is
+    further tokens (:func:`leaf_buckets`). A pair that meets in many buckets
+    counts only in the least of them. There, the ``low`` least hashes of both
+    rule out most pairs that merely share a passage, and the rest are compared
+    by their whole sets, which only then are fetched. Nothing is capped: a bucket that cannot be split is
     compared in blocks of ``block`` sets.
 
     Equal sets are one class from the start and travel once, so a text copied
@@ -188,23 +200,25 @@ def jaccard_join(
     hashed = named.withColumn("tokens", tokens)
     set_key = F.when((F.size("tokens") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("tokens"))
     first = _chosen(F.col("tokens"), lambda t: t, F.col("size"), runs / threshold)
-    members = written(hashed.select("doc_id", set_key.alias("set"), F.size("tokens").alias("size"), "tokens").withColumn("first", first).drop("tokens"))
-    distinct = members.where("set is not null").groupBy("set").agg(
-        F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("copies"), F.min("size").alias("size")
+    members = written(
+        hashed.select("doc_id", set_key.alias("set"), F.size("tokens").alias("size"), "tokens").withColumn("first", first)
+        .withColumn("low", F.slice("tokens", 1, low)).drop("tokens")
     )
-    chosen = members.where("set is not null").select("set", "size", F.explode("first").alias("bucket")).distinct()
-    candidates = written(_buckets(chosen))
-
-    # The whole sets of those that met anyone: one document's text for each.
-    wanted = candidates.select("set").distinct().join(distinct, "set")
-    fetched = named.join(wanted.select(F.col("name").alias("doc_id"), F.col("set").alias("_set"), "name", "copies"), "doc_id")
-    whole = fetched.withColumn("tokens", tokens).select(F.xxhash64("tokens").alias("set"), "_set", "name", "copies", "tokens").where("set = _set").drop("_set")
-    sets = written(whole)
-    if sets.count() > sets.select("set").distinct().count():  # a doc_id with the same text twice
-        sets = written(sets.dropDuplicates(["set"]))
-
-    leaves = written(leaf_buckets(chosen, lambda: sets, threshold, small, depth, again))
+    named_sets = members.where("set is not null")
+    distinct = named_sets.groupBy("set").agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("copies"), F.min("size").alias("size"))
+    chosen = named_sets.select("set", "size", F.explode("first").alias("bucket")).distinct()
+
+    def whole_sets(wanted: DataFrame) -> DataFrame:
+        """(set, name, copies, tokens) of the wanted sets, from one document's text each."""
+        names = wanted.select("set").distinct().join(distinct, "set").select(F.col("name").alias("doc_id"), "set", "name", "copies")
+        sets = written(named.join(names, "doc_id").select("set", "name", "copies", tokens.alias("tokens")))
+        if sets.count() > sets.select("set").distinct().count():  # a doc_id that stands for several rows
+            sets = written(sets.where(F.col("set") == F.xxhash64("tokens")).dropDuplicates(["set"]))
+        return sets
+
+    leaves = written(leaf_buckets(chosen, whole_sets, threshold, small, depth, again))
     in_leaves = leaves.groupBy("set").agg(F.sort_array(F.collect_set("bucket")).alias("leaves"))
+    known = named_sets.select("set", "low").join(in_leaves, "set").dropDuplicates(["set"])
     blocks = F.ceil(F.col("members") / block).cast("int")
     mine = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     placed = (
@@ -212,10 +226,16 @@ def jaccard_join(
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bucket", "set", "size", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
-    rows = placed.join(sets.join(in_leaves, "set"), "set")
-    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    columns = ["bucket", "i", "j", "block", "set", "name", "size", "copies", "tokens", "leaves"]
-    found = written(dealt.select(*columns).mapInArrow(lambda batches: _verified(batches, threshold), "set long, name long, root long, texts long, documents long"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    open_rows = dealt(placed.join(known, "set").select("bucket", "i", "j", "block", "set", "size", "leaves", "low"))
+    promising = written(
+        open_rows.mapInArrow(lambda batches: _promising(batches, threshold, low), "bucket long, i int, j int, block int, set long, size int, leaves array<long>")
+    )
+    rows = dealt(promising.join(whole_sets(promising), "set").select("bucket", "i", "j", "block", "set", "name", "size", "copies", "tokens", "leaves"))
+    found = written(rows.mapInArrow(lambda batches: _verified(batches, threshold), "set long, name long, root long, texts long, documents long"))
 
     classes = components(found.select(F.col("name").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("set").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
