@@ -38,7 +38,7 @@ def test_unknown_words_fall_back_to_shorter_grams():
 
 
 def test_toxicity_held_out(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/check_s/{t}.parquet") for t in ("documents", "labels"))
     model = tx.fit(docs, labels.where("doc_id % 3 <> 0"))
     got = tx.grade(docs, model).join(labels, "doc_id").where("doc_id % 3 = 0")
     right = got.agg(F.avg((F.col("rejected") == (F.col("toxic") == 1)).cast("int")), F.sum(((F.col("toxic") == 0) & F.col("rejected")).cast("int"))).first()
