@@ -118,8 +118,9 @@ class _Group:
         column, owner = number[column[keep]], owner[keep]
         order = np.argsort(column, kind="stable")
         column, owner = column[order], owner[order]
-        width = 2048
-        for first in range(0, int(shared.sum()), width):
+        columns = int(shared.sum())
+        width = min(2048, columns)
+        for first in range(0, columns, max(1, width)):
             a, b = np.searchsorted(column, [first, first + width])
             x = np.zeros((m, width), dtype=np.float32)
             x[owner[a:b], column[a:b] - first] = 1
@@ -166,7 +167,7 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
 
 
 def jaccard_join(
-    docs: DataFrame, *, size: int = 5, threshold: float = 0.8, runs: int = 8, small: int = 256, depth: int = 3, again: float = 1.5, block: int = 1024,
+    docs: DataFrame, *, size: int = 5, threshold: float = 0.8, runs: int = 8, small: int = 4096, depth: int = 3, again: float = 1.5, block: int = 1024,
     low: int = 32,
 ) -> DataFrame:
     """doc_id, class_id, n_links, n_texts of every row: near-duplicate classes by Jaccard similarity of word runs.
