@@ -25,10 +25,6 @@ from foldgraph.operators.packing import refuse_oversized
 from foldgraph.session import cut_lineage
 from foldgraph.spec import CORE, EncoderShape
 
-# Layers run fastest on blocks that stay in the processor's cache, so the node
-# limit of a microbatch is used up to this size.
-BLOCK_NODES = 8192
-
 NEEDED = ["node_features", "edge_src", "edge_dst", "edge_types", "residue_index", "node_roles"]
 PASSED = ["graph_id", "length", "start", "end", "node_count"]
 
@@ -162,8 +158,8 @@ def encode(
         for batch in batches:
             nodes = batch["residue_index"].value_lengths().to_numpy(zero_copy_only=False)
             edges = batch["edge_src"].value_lengths().to_numpy(zero_copy_only=False)
-            at, block = 0, min(max_batch_nodes, max(BLOCK_NODES, int(nodes.max(initial=0))))
-            for end in _batch_ends(nodes, edges, block, max_batch_edges):
+            at = 0
+            for end in _batch_ends(nodes, edges, max_batch_nodes, max_batch_edges):
                 rows = batch.slice(at, end - at)
                 residues, matrix = _encode_rows(held.value, shape, rows, half, out_type)
                 passed = [rows[name] for name in PASSED]

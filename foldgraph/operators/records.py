@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from foldgraph.errors import RecordError
 from foldgraph.functions import text
-from foldgraph.functions.arrays import let
 from foldgraph.functions.pairing import scan_brackets
-from foldgraph.session import number_rows
+from foldgraph.session import materialize, number_rows
 from foldgraph.spec import MAX_LENGTH
 
 # Room for the windows of one row inside a record ordinal. A molecule has
@@ -18,7 +17,6 @@ from foldgraph.spec import MAX_LENGTH
 WINDOW_BITS = 24
 # Copies of the repeated-id table, so that one id holding a large part of all
 # records is met in many tasks instead of one.
-SALTS = 16
 
 RECORD_COLUMNS = [
     "graph_id", "molecule_id", "sequence", "structure", "start", "end", "length", "core_length", "record_ord",
@@ -147,20 +145,27 @@ def judge_rows(rows: DataFrame, maximum: int = MAX_LENGTH) -> DataFrame:
     ).drop("brackets")
 
 
+def _ordinal() -> Column:
+    """row_ord, refused where it leaves no room for the window's number."""
+    fits = F.col("row_ord").between(0, (1 << (63 - WINDOW_BITS)) - 1)
+    refused = F.raise_error(F.concat(F.lit("row order out of range: "), F.col("row_ord").cast("string"))).cast("long")
+    return F.when(fits, F.col("row_ord")).otherwise(refused)
+
+
 def expand_windows(rows: DataFrame, suffix_identifier: bool = True) -> DataFrame:
     """One row per listed window; a row listing none stays one full record."""
     windows = F.arrays_zip(F.col("starts.values").alias("start"), F.col("ends.values").alias("end"))
     exploded = rows.select(
         "*", F.size("starts.values").alias("n_windows"), F.posexplode_outer(windows).alias("window_ord", "window")
     ).select("*", F.col("window.start").alias("start"), F.col("window.end").alias("end"))
-    renamed = F.col("start").isNotNull() & (F.lit(suffix_identifier) | (F.col("n_windows") > 1))
+    renamed = F.col("start").isNotNull() & F.lit(suffix_identifier)
     suffixed = F.when(renamed, text.window_identifier(F.col("raw_id"), F.col("start"), F.col("end"))).otherwise(F.col("raw_id"))
     return (
         exploded.withColumn("molecule_id", text.strip(F.col("raw_id")))
         .withColumn("graph_id", text.strip(suffixed))
         .withColumn("length", F.length("sequence"))
         .withColumn("core_length", F.coalesce(F.col("end") - F.col("start"), F.col("length")).cast("int"))
-        .withColumn("record_ord", F.shiftleft("row_ord", WINDOW_BITS) + F.coalesce(F.col("window_ord"), F.lit(0)))
+        .withColumn("record_ord", F.shiftleft(_ordinal(), WINDOW_BITS) + F.coalesce(F.col("window_ord"), F.lit(0)))
     )
 
 
@@ -190,14 +195,20 @@ def repeated_ids(records: DataFrame, key: str = "graph_id") -> DataFrame:
 
 
 def flag_repeats(records: DataFrame) -> DataFrame:
-    """Add ``first_ord``, set where a record shares its id with an earlier one."""
-    repeats = repeated_ids(records.where("fault is null").select("graph_id", "record_ord"))
-    salted = repeats.select("graph_id", "first_ord", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salt = F.pmod(F.xxhash64("record_ord"), F.lit(SALTS)).cast("int")
-    joined = records.withColumn("salt", salt).join(salted, ["graph_id", "salt"], "left").drop("salt")
+    """Fault the records that share their id with an earlier one.
+
+    The judged records are written to shared scratch, so nothing upstream runs
+    twice. Without a repeat they are not joined at all; else the repeated ids
+    are written too, and adaptive execution may split an id however common.
+    """
+    judged = materialize(records)
+    repeats = materialize(repeated_ids(judged.where("fault is null").select("graph_id", "record_ord")).select("graph_id", "first_ord"))
+    if repeats.isEmpty():
+        return judged
+    joined = judged.join(repeats, "graph_id", "left")
     later = F.col("fault").isNull() & (F.col("record_ord") > F.col("first_ord"))
     repeat = _fault("duplicate_identifier", F.concat(F.lit("identifier seen before: "), F.col("graph_id")))
-    return joined.withColumn("fault", F.when(later, repeat).otherwise(F.col("fault"))).drop("first_ord")
+    return joined.withColumn("fault", F.when(later, repeat).otherwise(F.col("fault"))).drop("first_ord").select(*judged.columns)
 
 
 def judged_records(
@@ -211,6 +222,9 @@ def judged_records(
 ) -> DataFrame:
     """Every record of every row with its verdict in ``fault``."""
     rows = judge_rows(standardize(rows, columns, order), maximum)
+    if not suffix_identifier:
+        several = _fault("single_window", "a record that keeps its identifier takes one window")
+        rows = rows.withColumn("fault", F.when(F.col("fault").isNull() & (F.size("starts.values") > 1), several).otherwise(F.col("fault")))
     faulty = F.col("fault").isNotNull()
     empty = F.struct(F.array().cast("array<long>").alias("values"), F.lit(None).cast("string").alias("error"))
     rows = rows.withColumn("starts", F.when(faulty, empty).otherwise(F.col("starts")))

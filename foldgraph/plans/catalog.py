@@ -376,9 +376,9 @@ def check_window_lists(spark, sf):
     return rejects.where("rule = 'window_lists'").select("molecule_id", "message")
 
 
-@query(f"with {O.RNA}, ids as (select sequence[1:6] as graph_id from rec) select graph_id, count(*) as copies from ids group by graph_id having count(*) > 1")
+@query(f"with {O.RNA}, ids as (select sequence as graph_id from rec) select graph_id, count(*) as copies from ids group by graph_id having count(*) > 1")
 def check_unique_ids(spark, sf):
-    named = full_records(spark, sf).select(F.substring("sequence", 1, 6).alias("graph_id"))
+    named = full_records(spark, sf).select(F.col("sequence").alias("graph_id"))
     return checks.check_unique_ids(named)
 
 

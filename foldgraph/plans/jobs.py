@@ -16,7 +16,7 @@ from foldgraph.operators.encoder import check_sizes, encode
 from foldgraph.operators.graphs import build_graphs
 from foldgraph.operators.records import Columns, require_non_empty
 from foldgraph.session import materialize
-from foldgraph.sources.shards import read_shards, write_shards
+from foldgraph.sources.shards import read_shards, row_hash, write_shards
 from foldgraph.sources.tables import read_records
 from foldgraph.spec import EncoderShape, GraphSpec
 
@@ -57,8 +57,7 @@ def embedding_manifest(embeddings: DataFrame) -> DataFrame:
 
 def dataset_checksum(df: DataFrame) -> DataFrame:
     """One order-free hash of a whole dataset; combined on the map side."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
-    return df.agg(F.sum(row).cast("string").alias("checksum"), F.count(F.lit(1)).alias("rows"))
+    return df.agg(F.sum(row_hash(df.columns)).cast("string").alias("checksum"), F.count(F.lit(1)).alias("rows"))
 
 
 def build_summary(graphs: DataFrame, spec: GraphSpec = GraphSpec()) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Scratch space, size-checked broadcasts and row numbering."""
+"""Scratch space, complete lookups and row numbering."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# A side is broadcast only when a count has shown it to hold at most this many rows.
-BROADCAST_ROWS = 200_000
-
 
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder under the shared folder named by ``spark.checkpoint.dir``.
@@ -43,25 +40,30 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
+def looked_up(df: DataFrame, side: DataFrame, keys: list[str], found: str) -> DataFrame:
+    """Join ``side``, which must know every row's keys: a row it does not know is an error, never left out.
 
-def attach(df: DataFrame, side: DataFrame, keys: list[str], side_rows: int, how: str = "inner") -> DataFrame:
-    """Join ``side`` onto ``df``; broadcast it only when its row count is small."""
-    return df.join(F.broadcast(side) if side_rows <= BROADCAST_ROWS else side, keys, how)
+    Spark broadcasts ``side`` below its size threshold and shuffles beyond it.
+    """
+    joined = df.join(side, keys, "left")
+    missing = F.raise_error(F.concat(F.lit("no entry for "), F.to_json(F.struct(*keys)))).cast("long")
+    return joined.withColumn(found, F.coalesce(F.col(found), missing))
 
 
 def number_rows(df: DataFrame, name: str, file: str | None = None) -> DataFrame:
     """Add a dense 0-based number in partition order, without sorting anything.
 
-    One counting pass gives the rows of each partition; a row's number is its
-    place in its partition plus the rows of the partitions before it. With
-    ``file``, the column of a source path whose files are each read by one
-    task, files follow each other by path instead.
+    The rows are written to shared scratch with their partition, so counting
+    and numbering see the same partitions whatever executors come and go. A
+    row's number is its place in its partition plus the rows of the partitions
+    before it. With ``file``, the column of a source path whose files are each
+    read by one task, files follow each other by path instead.
     """
-    tagged = df.withColumn("_mono", F.monotonically_increasing_id())
     group = F.shiftright("_mono", 33) if file is None else F.col(file)
-    tagged = tagged.withColumn("_group", group)
+    tagged = materialize(df.withColumn("_mono", F.monotonically_increasing_id()).withColumn("_group", group))
     counts = tagged.groupBy("_group").agg(F.count(F.lit(1)).alias("n"), F.min("_mono").alias("first")).collect()
     shifts, total = [], 0
     for row in sorted(counts, key=lambda r: r._group):
@@ -69,7 +71,7 @@ def number_rows(df: DataFrame, name: str, file: str | None = None) -> DataFrame:
         total += row.n
     kind = "long" if file is None else "string"
     side = df.sparkSession.createDataFrame(shifts, f"_group {kind}, _shift long")
-    numbered = attach(tagged, side, ["_group"], len(shifts))
+    numbered = looked_up(tagged, side, ["_group"], "_shift")
     return numbered.withColumn(name, F.col("_mono") + F.col("_shift")).drop("_mono", "_group", "_shift")
 
 

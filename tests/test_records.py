@@ -46,8 +46,15 @@ def test_window_lists_expand_and_rename(spark):
 
 
 def test_a_single_window_keeps_its_name_without_suffix(spark):
-    good, _ = judge(spark, [("m", *STEM, "6", "12"), ("n", *STEM, "1,2", "3,4")], suffix_identifier=False)
-    assert [r.graph_id for r in good] == ["m", "n:1-3", "n:2-4"]
+    good, bad = judge(spark, [("m", *STEM, "6", "12"), ("n", *STEM, "1,2", "3,4")], suffix_identifier=False)
+    assert [r.graph_id for r in good] == ["m"]
+    assert [(r.molecule_id, r.rule) for r in bad] == [("n", "single_window")]
+
+
+def test_an_ordinal_without_room_is_refused(spark):
+    rows = spark.createDataFrame([(1 << 39, "a", "ACGU", "....")], "at long, transcript_id string, sequence string, secondary_structure string")
+    with pytest.raises(Exception, match="row order out of range"):
+        records_from_df(rows, order="at").records.collect()
 
 
 def test_repeats_are_judged_after_expansion(spark):

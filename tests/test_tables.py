@@ -42,6 +42,34 @@ def test_a_table_split_over_many_tasks_numbers_the_same(spark, tmp_path):
     assert bad == [i + 2 for i in range(0, 5000, 100)]
 
 
+def test_splits_that_change_lose_nothing(spark, tmp_path):
+    lines = [f"id-{i}\tACGU\t...." for i in range(20000)]
+    path = put(tmp_path, "\n".join([HEAD, *lines]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for planned, executed in (("64k", "40k"), ("40k", "64k")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", planned)
+            records = read_records(spark, path).records.select("graph_id", "record_ord")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", executed)
+            got = records.orderBy("record_ord").collect()
+            assert [r.graph_id for r in got] == [f"id-{i}" for i in range(20000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_quotes_inside_fields_are_data(spark, tmp_path):
+    path = put(tmp_path, f'{HEAD}\tnote\na"1\tACGU\t....\t5" cap\nb\tACGU\t....\t"x\ty"\nc\tACGU\t....\tone "odd\n')
+    got = read_records(spark, path)
+    assert [r.graph_id for r in got.records.orderBy("record_ord").collect()] == ['a"1', "b", "c"]
+    assert got.rejects.isEmpty()
+
+
+def test_bytes_that_are_not_text_are_refused(spark, tmp_path):
+    (tmp_path / "bad.tsv").write_bytes(HEAD.encode() + b"\nx\xff\tACGU\t....\n")
+    with pytest.raises(RecordError, match="UTF-8"):
+        read_records(spark, str(tmp_path / "bad.tsv"))
+
+
 def test_remapped_columns_and_quotes(spark, tmp_path):
     columns = Columns("rna_name", "bases", "dot_bracket")
     plain = 'dot_bracket,source,rna_name,bases\n(()),"a, ""b""",first,ACGU\n....,x,second,GGAA\n'
