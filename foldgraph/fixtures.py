@@ -81,10 +81,12 @@ def rna_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weights_from_embeddings(spark: SparkSession, sf_dir: str, shape: EncoderShape) -> DataFrame:
-    """A weight table cut from the supplied ``embeddings``, rounded to 1/64.
+    """A weight table made of all supplied ``embeddings``, in steps of 1/64 from -1 up to 1.
 
-    Every row of a tensor takes one vector, by its number in the whole table
-    of rows; wider rows repeat it. Gains are 1 and variances positive.
+    The vectors, in steps of 1/64, are added up in as many slots as the tensors
+    have rows (or as there are vectors, if fewer), by their id, and each sum is
+    taken modulo 128 steps. A row takes the slot of its number in the whole
+    table of rows; wider rows repeat it. Gains are 1 and variances positive.
     """
     sizes, first = [], 0
     for name, (rows, width) in shape.tensors().items():
@@ -93,15 +95,17 @@ def weights_from_embeddings(spark: SparkSession, sf_dir: str, shape: EncoderShap
     table = spark.createDataFrame(sizes, "tensor string, first long, rows int, width int")
     table = table.select("tensor", "first", "width", F.explode(F.expr("sequence(0, rows - 1)")).alias("row"))
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    count = vectors.count()
-    table = table.withColumn("vec_id", F.expr(f"(first + row) % {count}"))
+    slots = min(first, vectors.count())
+    cells = vectors.select(F.expr(f"vec_id % {slots}").alias("slot"), F.posexplode("embedding").alias("c", "x"))
+    sums = cells.groupBy("slot", "c").agg(F.expr("pmod(sum(cast(round(x * 64) as bigint)) + 64, 128) - 64").alias("steps"))
+    held = sums.groupBy("slot").agg(F.expr("transform(array_sort(collect_list(struct(c, steps))), x -> x.steps)").alias("steps"))
     value = F.expr(
         "transform(sequence(0, width - 1), c -> cast(case "
         "when tensor like '%mlp.1.weight' or tensor like 'norms.%.weight' then 1 "
-        "when tensor like '%.running_var' then 1 + abs(round(embedding[c % size(embedding)] * 64)) / 64 "
-        "else round(embedding[c % size(embedding)] * 64) / 64 end as float))"
+        "when tensor like '%.running_var' then 1 + abs(steps[c % size(steps)]) / 64 "
+        "else steps[c % size(steps)] / 64 end as float))"
     )
-    return table.join(vectors, "vec_id").select("tensor", "row", value.alias("values"))
+    return table.withColumn("slot", F.expr(f"(first + row) % {slots}")).join(held, "slot").select("tensor", "row", value.alias("values"))
 
 
 def write_table(rows: DataFrame, path: str, delimiter: str = "\t") -> str:

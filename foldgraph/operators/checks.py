@@ -78,32 +78,33 @@ def check_spec(graphs: DataFrame, spec: GraphSpec = GraphSpec()) -> DataFrame:
     return graphs.where(~F.col("graph_spec_sha256").eqNullSafe(F.lit(spec.fingerprint))).select("graph_id", "graph_spec_sha256")
 
 
-def mixed_shards(graphs: DataFrame) -> DataFrame:
-    """Shards whose graphs do not share one contract."""
-    span = graphs.groupBy("shard_id").agg(F.min("graph_spec_sha256").alias("low"), F.max("graph_spec_sha256").alias("high"))
-    return span.where("low <> high").select("shard_id")
-
-
-def shard_counts(graphs: DataFrame) -> DataFrame:
-    """Records, nodes, core nodes and edges of each shard."""
+def shard_counts(graphs: DataFrame, *more: Column) -> DataFrame:
+    """Records, nodes, core nodes and edges of each shard, and ``more`` totals of the same pass."""
     return graphs.groupBy("shard_id").agg(
         F.count(F.lit(1)).alias("record_count"),
         F.sum(F.col("node_count").cast("long")).alias("node_count"),
         F.sum(F.col("core_count").cast("long")).alias("core_count"),
         F.sum(F.col("edge_count").cast("long")).alias("edge_count"),
+        *more,
     )
 
 
 def check_shards(graphs: DataFrame, spec: GraphSpec = GraphSpec(), max_nodes: int = 2**31 - 1) -> DataFrame:
-    """(shard_id, rule, rows): per-graph faults by shard, repeated ids, mixed contracts, size."""
-    faults = broken_rules(graphs, _graph_rules(spec), "shard_id").groupBy("shard_id", "rule").agg(F.count(F.lit(1)).alias("rows"))
+    """(shard_id, rule, rows): per-graph faults by shard, repeated ids, mixed contracts, size.
+
+    One pass counts every rule, combined before the shuffle; a second one reads the ids alone.
+    """
+    broken = [(name, F.count_if(F.coalesce(test, F.lit(True)))) for name, test in _graph_rules(spec)]
+    contract = F.col("graph_spec_sha256")
+    broken.append(("mixed_contract", F.when(F.min(contract) != F.max(contract), 1).otherwise(0).cast("long")))
+    nodes = F.sum(F.col("node_count").cast("long"))
+    broken.append(("too_many_nodes", F.when(nodes > max_nodes, 1).otherwise(0).cast("long")))
+    found = F.array(*[F.struct(F.lit(name).alias("rule"), rows.alias("rows")) for name, rows in broken])
+    faults = graphs.groupBy("shard_id").agg(found.alias("found"))
+    faults = faults.select("shard_id", F.inline(F.filter("found", lambda x: x["rows"] > 0)))
     # Counting per id first combines the copies of one id before the shuffle.
     repeats = check_unique_ids(graphs, "shard_id").groupBy("shard_id").agg(F.count(F.lit(1)).alias("rows"))
-    repeats = repeats.select("shard_id", F.lit("duplicate_identifier").alias("rule"), "rows")
-    mixed = mixed_shards(graphs).select("shard_id", F.lit("mixed_contract").alias("rule"), F.lit(1).cast("long").alias("rows"))
-    large = shard_counts(graphs).where(F.col("node_count") > max_nodes)
-    large = large.select("shard_id", F.lit("too_many_nodes").alias("rule"), F.lit(1).cast("long").alias("rows"))
-    return faults.unionByName(repeats).unionByName(mixed).unionByName(large)
+    return faults.unionByName(repeats.select("shard_id", F.lit("duplicate_identifier").alias("rule"), "rows"))
 
 
 def check_offsets(offsets: DataFrame) -> DataFrame:

@@ -19,14 +19,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from foldgraph.errors import GraphError
 from foldgraph.functions import vectors as V
-from foldgraph.functions.arrays import first_n
 from foldgraph.operators.checks import check_weights, require_clean, require_spec
 from foldgraph.operators.packing import refuse_oversized
 from foldgraph.session import cut_lineage
 from foldgraph.spec import CORE, EncoderShape
 
 NEEDED = ["node_features", "edge_src", "edge_dst", "edge_types", "residue_index", "node_roles"]
-PASSED = ["graph_id", "length", "start", "end", "node_count"]
+PASSED = ["graph_id", "length", "start", "end", "node_count", "record_ord"]
 
 
 def load_weights(weights: DataFrame, shape: EncoderShape) -> dict[str, np.ndarray]:
@@ -66,6 +65,18 @@ def _by_kind(src, dst, kind):
     return groups
 
 
+def _receive(total, h, groups, by_kind):
+    """Add relu(h_src + w_kind) of every edge to its receiver's row of ``total``."""
+    for code, senders, receivers, single in groups:
+        messages = h[senders]
+        messages += by_kind[code]
+        np.maximum(messages, 0, out=messages)
+        if single:
+            total[receivers] += messages
+        else:
+            np.add.at(total, receivers, messages)
+
+
 def _run_layers(w, shape: EncoderShape, features, src, dst, kind):
     """Embeddings of all nodes of one microbatch."""
     groups = _by_kind(src, dst, kind)
@@ -74,14 +85,7 @@ def _run_layers(w, shape: EncoderShape, features, src, dst, kind):
         conv = f"convs.{k}"
         by_kind = w[f"{conv}.edge_lin.weight"].T + w[f"{conv}.edge_lin.bias"]
         total = (1 + w[f"{conv}.eps"][0, 0]) * h
-        for code, senders, receivers, single in groups:
-            messages = h[senders]
-            messages += by_kind[code]
-            np.maximum(messages, 0, out=messages)
-            if single:
-                total[receivers] += messages
-            else:
-                np.add.at(total, receivers, messages)
+        _receive(total, h, groups, by_kind)
         inner = np.maximum(_batch_norm(w, f"{conv}.mlp.1", _affine(w, f"{conv}.mlp.0", total)), 0)
         update = _layer_norm(w, f"norms.{k}", _affine(w, f"{conv}.mlp.4", inner))
         h = h + update if shape.residual else update
@@ -144,7 +148,8 @@ def encode(
 
     Limits bound the memory of a task; they do not change the result beyond
     the last bits. A graph above them, or of another contract, fails the task
-    that meets it; ``check_sizes`` looks for one beforehand.
+    that meets it; ``check_sizes`` looks for one beforehand. ``record_ord`` is
+    the graph's place in the input.
     """
     if max_batch_nodes <= 0 or max_batch_edges <= 0:
         raise GraphError("batch limits must be positive")
@@ -166,7 +171,7 @@ def encode(
                 yield pa.RecordBatch.from_arrays([*passed, residues, matrix], names=[*PASSED, "residue_index", "embedding"])
                 at = end
 
-    passed = "graph_id string, length int, start int, end int, node_count int"
+    passed = "graph_id string, length int, start int, end int, node_count int, record_ord long"
     fault = (
         F.when(~F.col("graph_spec_sha256").eqNullSafe(F.lit(shape.spec.fingerprint)), F.lit("another graph contract"))
         .when(F.col("node_count") > max_batch_nodes, F.lit("more nodes than max_batch_nodes"))
@@ -239,29 +244,44 @@ def edge_type_lookup(edges: DataFrame, by_kind: np.ndarray) -> DataFrame:
     return edges.withColumn("w", F.get(table, F.col("edge_type").cast("int")))
 
 
-def neighbour_sum(graphs: DataFrame, by_kind: np.ndarray) -> DataFrame:
+def neighbour_sum(graphs: DataFrame, by_kind: np.ndarray, max_batch_nodes: int = 60_000, max_batch_edges: int = 300_000) -> DataFrame:
     """(graph_id, node_idx, h, agg): sum over incoming edges of relu(h_src + w_kind).
 
-    Every node also sends its own state to itself, without a kind, so one
-    grouping gives state and sum together and a node without edges gets zeros.
-    Components are summed as columns. A graph's messages all arise in one
-    task, so they are combined there before the shuffle.
+    A graph lies in one row, so its messages are added there, some graphs at
+    a time: nothing is exploded before the sum and nothing is shuffled. A node
+    without edges gets zeros. A graph above a limit is summed by itself.
     """
-    size = by_kind.shape[1]
-    itself = F.transform(
-        first_n(F.col("node_count")),
-        lambda k: F.struct(k.alias("src"), k.alias("dst"), F.lit(None).cast("tinyint").alias("edge_type")),
-    )
-    sent = edge_type_lookup(_sent(graphs, F.concat(_edge_entries(), itself)), by_kind)
-    own = F.col("edge_type").isNull()
-    terms = []
-    for i in range(size):
-        terms.append(F.max(F.when(own, F.col("h")[i])).alias(f"h{i}"))
-        terms.append(F.sum(F.when(own, 0.0).otherwise(F.greatest(F.col("h")[i] + F.col("w")[i], F.lit(0.0)))).alias(f"a{i}"))
-    summed = sent.groupBy("graph_id", "dst").agg(*terms)
-    return summed.select(
-        "graph_id", F.col("dst").alias("node_idx"),
-        F.array(*[f"h{i}" for i in range(size)]).alias("h"), F.array(*[f"a{i}" for i in range(size)]).alias("agg"),
+    kinds = by_kind.astype(np.float64)
+    size = kinds.shape[1]
+
+    def vectors(matrix: np.ndarray) -> pa.ListArray:
+        offsets = pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * size)
+        return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix).ravel()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch["h"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            edges = batch["edge_src"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            limits = max(max_batch_nodes, nodes.max(initial=0)), max(max_batch_edges, edges.max(initial=0))
+            at = 0
+            for end in _batch_ends(nodes, edges, *limits):
+                rows, n, m = batch.slice(at, end - at), nodes[at:end], edges[at:end]
+                first = np.concatenate(([0], np.cumsum(n)[:-1]))
+                base = np.repeat(first, m)
+                states = rows["h"].flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                total = np.zeros_like(states)
+                groups = _by_kind(_ints(rows["edge_src"]) + base, _ints(rows["edge_dst"]) + base, _ints(rows["edge_types"]))
+                _receive(total, states, groups, kinds)
+                owner = pa.array(np.repeat(np.arange(len(n)), n))
+                place = (np.arange(len(states)) - np.repeat(first, n)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [rows["graph_id"].take(owner), pa.array(place), vectors(states), vectors(total)],
+                    names=["graph_id", "node_idx", "h", "agg"],
+                )
+                at = end
+
+    return graphs.select("graph_id", "h", "edge_src", "edge_dst", "edge_types").mapInArrow(
+        run, "graph_id string, node_idx int, h array<double>, agg array<double>"
     )
 
 

@@ -18,12 +18,14 @@ is the short rows of step 1, never the records.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from foldgraph.errors import GraphError
+from foldgraph.operators.checks import check_unique_ids, require_clean
 from foldgraph.session import cut_lineage
 
 NO_LIMIT = np.iinfo(np.int64).max // 4
@@ -273,22 +275,34 @@ def csr_offsets(graphs: DataFrame) -> DataFrame:
 
 
 def concat_graphs(*sets: DataFrame) -> DataFrame:
-    """Graphs of several sets in one shard, each set after the one before."""
+    """Graphs of several sets in one shard, each set after the one before.
+
+    ``record_ord`` stays a number: the orders of a set follow the last of the
+    set before it. Sets of another contract, or sharing an identifier, are refused.
+    """
     if not sets:
         raise GraphError("no graphs to put into a shard")
-    tagged = [
-        s.withColumn("record_ord", F.struct(F.lit(i).alias("part"), F.col("record_ord").cast("long").alias("at")))
-        for i, s in enumerate(sets)
-    ]
-    merged = tagged[0]
-    for other in tagged[1:]:
-        merged = merged.unionByName(other)
-    specs = merged.select("graph_spec_sha256").distinct().limit(2).collect()
-    if not specs:
+    narrow = ["graph_id", "record_ord", "graph_spec_sha256"]
+    tagged = [s.select(*narrow, F.lit(i).alias("part")) for i, s in enumerate(sets)]
+    heads = reduce(DataFrame.unionByName, tagged)
+    contract = F.coalesce("graph_spec_sha256", F.lit(""))
+    # One row for each set given.
+    spans = heads.groupBy("part").agg(
+        F.min("record_ord").alias("low"), F.max("record_ord").alias("high"),
+        F.min(contract).alias("least"), F.max(contract).alias("most"),
+    ).orderBy("part").collect()
+    if not spans:
         raise GraphError("no graphs to put into a shard")
-    if len(specs) > 1:
+    if len({c for r in spans for c in (r.least, r.most)}) > 1:
         raise GraphError("graphs of different contracts cannot share a shard")
-    return merged
+    require_clean(check_unique_ids(heads), "graphs of one shard share an identifier")
+    shifts, at = {}, 0
+    for r in spans:
+        shifts[r.part], at = at - r.low, at + r.high - r.low + 1
+    if at > 2**63 - 1:
+        raise GraphError("the orders of these sets do not fit into one number")
+    moved = [s.withColumn("record_ord", F.col("record_ord") + F.lit(shifts.get(i, 0)).cast("long")) for i, s in enumerate(sets)]
+    return reduce(DataFrame.unionByName, moved)
 
 
 def shard_edges(graphs: DataFrame) -> DataFrame:

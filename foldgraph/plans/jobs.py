@@ -48,9 +48,9 @@ class TableOptions:
 
 
 def embedding_manifest(embeddings: DataFrame) -> DataFrame:
-    """Per graph: sizes, window, and the shape of its matrix."""
+    """Per graph: place in the input, sizes, window, and the shape of its matrix."""
     return embeddings.select(
-        "graph_id", "length", "node_count", F.size("residue_index").alias("core_length"), "start", "end",
+        "record_ord", "graph_id", "length", "node_count", F.size("residue_index").alias("core_length"), "start", "end",
         F.coalesce(F.size(F.get("embedding", F.lit(0))), F.lit(0)).alias("embedding_dim"),
     )
 
@@ -60,6 +60,11 @@ def dataset_checksum(df: DataFrame) -> DataFrame:
     return df.agg(F.sum(row_hash(df.columns)).cast("string").alias("checksum"), F.count(F.lit(1)).alias("rows"))
 
 
+def weights_checksum(weights: DataFrame) -> str:
+    """Which weights made a set of vectors: a hash of all their values."""
+    return dataset_checksum(weights.select("tensor", "row", "values")).first().checksum
+
+
 def build_summary(graphs: DataFrame, spec: GraphSpec = GraphSpec()) -> DataFrame:
     return graphs.agg(
         F.count(F.lit(1)).alias("records"),
@@ -143,7 +148,10 @@ def embed_graph_dataset(
         graphs, weights, shape, max_batch_nodes=max_batch_nodes, max_batch_edges=max_batch_edges, embedding_dtype=embedding_dtype
     )
     stored = write_embeddings(encoded, path)
-    run = {"input": graphs_at, "graph_spec_sha256": shape.spec.fingerprint, "elapsed_seconds": time.time() - started}
+    run = {
+        "input": graphs_at, "graph_spec_sha256": shape.spec.fingerprint, "weights_checksum": weights_checksum(weights),
+        "elapsed_seconds": time.time() - started,
+    }
     return write_manifest(stored, path, run, checksum=checksum)
 
 
@@ -172,6 +180,6 @@ def embed_table(
     source = dataset_checksum(lines).first()
     run = {
         "input": str(table), "input_checksum": source.checksum, "graph_spec_sha256": shape.spec.fingerprint,
-        "elapsed_seconds": time.time() - started,
+        "weights_checksum": weights_checksum(weights), "elapsed_seconds": time.time() - started,
     }
     return write_manifest(stored, path, run, checksum=True)

@@ -174,28 +174,27 @@ def edge_digest(table: str, ids: str, src: str = "src", dst: str = "dst") -> str
 
 
 def small_weights(tensor: str) -> str:
-    """Rows of one tensor of the weight table cut from ``embeddings``."""
+    """Rows of one tensor of the weight table made of ``embeddings``."""
     first = 0
     for name, (rows, width) in SMALL.tensors().items():
         if name == tensor:
             break
         first += rows
-    value = "round(embedding[c % 64 + 1] * 64) / 64"
+    slots = f"least({sum(r for r, _ in SMALL.tensors().values())}, (select count(*) from embeddings))"
+    value = "steps / 64"
     if tensor.endswith("mlp.1.weight") or (tensor.startswith("norms.") and tensor.endswith(".weight")):
         value = "1.0"
     if tensor.endswith(".running_var"):
-        value = "1 + abs(round(embedding[c % 64 + 1] * 64)) / 64"
+        value = "1 + abs(steps) / 64"
     return (
         f"(select r.row, c.c, cast({value} as double) as v from (select unnest(range(0, {rows})) as row) r "
         f"cross join (select unnest(range(0, {width})) as c) c "
-        f"join embeddings x on x.vec_id = ({first} + r.row) % (select count(*) from embeddings))"
+        f"join (select slot, c as at, (sum(cast(round(x * 64) as bigint)) + 64) % 128 as rest, case when rest < 0 then rest + 64 else rest - 64 end as steps "
+        f"from (select vec_id % {slots} as slot, unnest(embedding) as x, unnest(range(0, len(embedding))) as c from embeddings) group by slot, c) x "
+        f"on x.slot = ({first} + r.row) % {slots} and x.at = c.c % 64)"
     )
 
 
-WIN_EDGES = RNA + EDGES + WINDOWS
-DAMAGE = "(doc_id + piece) % 7"
-
-
 def spec_variants() -> dict[str, GraphSpec]:
     return {"default": GraphSpec(), "states": GraphSpec(structure_feature="B"), "no_skip": GraphSpec(skip2=False, edge_dim=4), "plain": GraphSpec(positional=False)}
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foldgraph.errors import RecordError
 from foldgraph.operators import encoder as E
@@ -42,6 +43,10 @@ def test_staged_equals_direct(spark, weights, tmp_path):
     rows = {r.graph_id: r for r in spark.read.json(f"{out['direct']}/manifest/records").collect()}
     assert (rows["a:9-16"].start, rows["a:9-16"].end, rows["a:9-16"].core_length, rows["a:9-16"].node_count) == (9, 16, 7, 12)
     assert (rows["b-full"].length, rows["b-full"].embedding_dim) == (8, 5)
+    in_order = [r.graph_id for r in sorted(rows.values(), key=lambda r: r.record_ord)]
+    assert in_order == ["a:9-16", "a:6-12", "a-full", "b:9-16", "b:6-12", "b-full"]
+    other = weights.withColumn("values", F.transform("values", lambda x: (x + F.when(F.col("row") == 5, 1).otherwise(0)).cast("float")))
+    assert run.weights_checksum == J.weights_checksum(weights.repartition(3)) != J.weights_checksum(other)
 
 
 def test_bad_rows_stop_a_job_or_are_left_out(spark, weights, tmp_path):

@@ -72,5 +72,8 @@ def test_offsets_slices_and_unions(records):
     assert P.csr_offsets(both).agg(F.max("node_ptr")).first()[0] == 16
     edges = P.shard_edges(both).orderBy("edge_ord").collect()
     assert len(edges) == 36 and max(e.dst for e in edges) == 19
+    assert dict(both.dtypes)["record_ord"] == "bigint" and both.select("record_ord").distinct().count() == 8
     with pytest.raises(GraphError):
         P.concat_graphs(g.limit(0))
+    with pytest.raises(GraphError, match="share an identifier"):
+        P.concat_graphs(g, g.where("graph_id = 'r2'"))
