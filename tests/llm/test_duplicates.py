@@ -154,3 +154,21 @@ def test_removal(table, prose, edge):
     out = ps.remove_passages(docs, passages)
     assert out.columns == docs.columns and {1, 2, 3, 4} <= {r.doc_id for r in out.collect()}
     assert ps.repeated_passages(table([])).count() == 0
+
+
+def test_minimizers_and_matches_between_anchors_against_loops():
+    rng = np.random.default_rng(5)
+    for n, k, window in ((5, 6, 16), (9, 6, 16), (300, 6, 16), (300, 3, 5), (40, 2, 1)):
+        hashes = rng.integers(0, 4 if k == 3 else 2**60, n).astype(np.uint64)
+        at, values = ps.seeds(hashes, k, window)
+        _, every = ps.seeds(hashes, k, 1)
+        starts = range(max(1, len(every) - window + 1)) if len(every) else []
+        assert at.tolist() == sorted({min(range(s, min(s + window, len(every))), key=lambda i: (int(every[i]) >> 24, i)) for s in starts})
+        assert values.tolist() == every[at].tolist()
+    for p, q, matched in (
+        ([1, 2, 3], [1, 2, 3], [1, 1, 1]), ([1, 9, 3], [1, 2, 3], [1, 0, 1]), ([], [1], []), ([1], [], [0]), ([1, 1], [1], [1, 0]),
+        ([1, 2, 3, 4, 5, 6], [1, 3, 4, 7, 5, 6], [1, 0, 1, 1, 1, 1]), ([7, 8], [1, 2], [0, 0]),
+    ):
+        assert ps.between(np.array(p, dtype=np.int32), np.array(q, dtype=np.int32)).tolist() == [bool(m) for m in matched]
+    starts, stops, counts = ps.intervals(np.array([0, 1, 5, 20]), 4)
+    assert (starts.tolist(), stops.tolist(), counts.tolist()) == ([0, 20], [6, 21], [3, 1])
