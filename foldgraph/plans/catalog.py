@@ -940,7 +940,7 @@ def collect_matrix(spark, sf):
     f"false as nontrivial_roles, '{GraphSpec().fingerprint}' as graph_spec_sha256 from sizes group by shard_id"
 )
 def write_shards(spark, sf):
-    manifest = spark.read.parquet(shards.manifest_path(shard_dataset(spark, sf)))
+    manifest = shards.read_manifest(spark, shard_dataset(spark, sf))
     return manifest.select("shard_id", "record_count", "node_count", "edge_count", "nontrivial_roles", "graph_spec_sha256")
 
 

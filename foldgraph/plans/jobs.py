@@ -73,21 +73,20 @@ def build_summary(graphs: DataFrame, spec: GraphSpec = GraphSpec()) -> DataFrame
     ).withColumn("graph_spec_sha256", spec_fingerprint(spec))
 
 
-def write_embeddings(embeddings: DataFrame, path: str, mode: str = "error") -> DataFrame:
-    """One row per graph id; returns the dataset as stored."""
-    embeddings.write.mode(mode).parquet(f"{path}/embeddings")
+def write_embeddings(embeddings: DataFrame, path: str) -> DataFrame:
+    """One row per graph id, into a folder without embeddings; returns the dataset as stored."""
+    embeddings.write.parquet(f"{path}/embeddings")
     return embeddings.sparkSession.read.parquet(f"{path}/embeddings")
 
 
-def write_manifest(
-    stored: DataFrame, path: str, run: dict, *, checksum: bool = False, mode: str = "error"
-) -> DataFrame:
+def write_manifest(stored: DataFrame, path: str, run: dict, *, checksum: bool = False) -> DataFrame:
     """Records and run facts next to the embeddings, written once those are complete.
 
-    The run row comes last, so a folder that has it is whole.
+    The run row comes last, so a folder that has it is whole. Nothing is
+    overwritten: a new run takes a new path.
     """
     spark = stored.sparkSession
-    embedding_manifest(stored).write.mode(mode).json(f"{path}/manifest/records")
+    embedding_manifest(stored).write.json(f"{path}/manifest/records")
     facts = {
         "status": "complete", "output": path, "spark": pyspark.__version__, "python": platform.python_version(),
         "numpy": np.__version__, **run,
@@ -96,7 +95,7 @@ def write_manifest(
     if checksum:
         totals = dataset_checksum(stored).withColumnsRenamed({"checksum": "output_checksum", "rows": "records"})
     row = totals.withColumns({k: F.lit(v) for k, v in facts.items()})
-    row.coalesce(1).write.mode(mode).json(f"{path}/manifest/run")
+    row.coalesce(1).write.json(f"{path}/manifest/run")
     return spark.read.json(f"{path}/manifest/run")
 
 

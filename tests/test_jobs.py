@@ -76,8 +76,8 @@ def test_arriving_datasets(spark, weights, tmp_path):
         return spark.read.parquet(f"{out}/embeddings"), spark.read.parquet(f"{out}/rejects")
 
     arrive("one", ["a", "b"])
-    # Graphs without a manifest are unfinished and stay untouched.
-    spark.read.parquet(f"{incoming}/one/graphs").write.parquet(f"{incoming}/half/graphs")
+    # Graphs that are not published are unfinished and stay untouched.
+    spark.read.parquet(f"{incoming}/one/graphs/*").write.parquet(f"{incoming}/half/graphs/run")
     done, rejects = run()
     assert (done.count(), rejects.count()) == (6, 0)
     done, rejects = run()
