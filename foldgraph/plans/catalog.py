@@ -730,6 +730,41 @@ def dataset_checksum(spark, sf):
     return shards.shard_checksums(g)
 
 
+@query(
+    f"with {O.RNA} select doc_id as shard_id, count(*) as records, true as same_reordered, bool_or(sequence like 'A%') as value_changed, "
+    "bool_or(sequence like 'A%' and n > 1) as element_moved, bool_or(sequence like 'A%') as ends_exchanged from rec group by doc_id"
+)
+def checksum_damage(spark, sf):
+    """Which kinds of damage to the molecules that start with A change the checksum of their shard."""
+    g = sharded_by_document(spark, sf).withColumn("end", F.col("node_count"))
+    kinds = ["intact", "value", "moved", "ends"]
+    each = g.withColumn("kind", F.explode(F.array(*map(F.lit, kinds))))
+
+    def hit(kind: str):
+        return (F.col("kind") == kind) & F.col("sequence").startswith("A")
+
+    def damaged(column: str, kind: str, value):
+        return F.when(hit(kind), value).otherwise(F.col(column)).alias(column)
+
+    raised = F.transform("node_features", lambda f: F.transform(f, lambda x: (x + 1).cast("float")))
+    last = F.slice("edge_src", F.greatest(F.size("edge_src"), F.lit(1)), 1)
+    changes = {
+        "node_features": damaged("node_features", "value", raised),
+        "edge_src": damaged("edge_src", "moved", F.slice("edge_src", 1, F.greatest(F.size("edge_src") - 1, F.lit(0)))),
+        "edge_dst": damaged("edge_dst", "moved", F.concat(last, "edge_dst")),
+        "start": damaged("start", "ends", F.col("end")),
+        "end": damaged("end", "ends", F.col("start")),
+    }
+    bent = each.select("kind", *[changes.get(c, F.col(f"`{c}`")) for c in g.columns])
+    sums = bent.groupBy("shard_id", "kind").agg(shards.content_hash(g.columns), F.count(F.lit(1)).alias("rows"))
+    found = sums.groupBy("shard_id").agg(F.max("rows").alias("records"), *[F.max(F.when(F.col("kind") == k, F.col("checksum"))).alias(k) for k in kinds])
+    again = shards.shard_checksums(g.repartition("sequence")).select("shard_id", "checksum")
+    return found.join(again, "shard_id").select(
+        "shard_id", "records", (F.col("checksum") == F.col("intact")).alias("same_reordered"), (F.col("value") != F.col("intact")).alias("value_changed"),
+        (F.col("moved") != F.col("intact")).alias("element_moved"), (F.col("ends") != F.col("intact")).alias("ends_exchanged"),
+    )
+
+
 # Order and packing ---------------------------------------------------------
 
 
