@@ -172,3 +172,30 @@ def test_minimizers_and_matches_between_anchors_against_loops():
         assert ps.between(np.array(p, dtype=np.int32), np.array(q, dtype=np.int32)).tolist() == [bool(m) for m in matched]
     starts, stops, counts = ps.intervals(np.array([0, 1, 5, 20]), 4)
     assert (starts.tolist(), stops.tolist(), counts.tolist()) == ([0, 20], [6, 21], [3, 1])
+
+
+def test_exact_passages_beside_loose_matches_stay(table):
+    rng = random.Random(12)
+    word = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    first, middle, last = word(55), word(234), word(55)
+    loose = [w if i % 19 >= 6 else f"y{i}" for i, w in enumerate(middle)]  # 13 equal, 6 not: no gap ends the run
+    rows = [(1, " ".join(word(30) + first + middle + last + word(30))), (2, " ".join(word(30) + first + loose + last + word(30)))]
+    docs = table(rows)
+    passages = ps.repeated_passages(docs)
+    found = covered(passages)
+    assert set(found) == {2} and set(range(30, 85)) | set(range(319, 374)) <= found[2]
+    assert all(r.matched >= 0.8 * r.n_words and r.n_words >= 45 for r in passages.collect())
+    left = {r.doc_id: r.text.split() for r in ps.remove_passages(docs, passages).collect()}
+    assert not set(left[2]) & {*first, *last} and left[2] == [w for i, w in enumerate(rows[1][1].split()) if i not in found[2]]
+
+
+def test_similar_parts_against_loops():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        at = np.flatnonzero(rng.random(60) < rng.choice([0.6, 0.75, 0.9]))
+        good = [
+            (int(at[i]), int(at[j]) + 1, j - i + 1) for i in range(len(at)) for j in range(i, len(at))
+            if at[j] + 1 - at[i] >= 12 and 5 * (j - i + 1) >= 4 * (at[j] + 1 - at[i]) and (np.diff(at[i : j + 1]) <= 4).all()
+        ]
+        want = [g for g in good if not any(o != g and o[0] <= g[0] and g[1] <= o[1] for o in good)]
+        assert list(zip(*(x.tolist() for x in ps.similar_parts(at, 3, 12, 0.8)))) == want
