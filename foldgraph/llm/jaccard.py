@@ -34,7 +34,8 @@ def leaf_buckets(chosen: DataFrame, whole_sets, threshold: float, small: int, de
     further tokens, by a hash of the path so far, and meet again under the
     longer path; ``whole_sets`` gives their tokens. What is still large after
     ``depth`` splits consists of sets that share most of what they have, and
-    is done too: it is compared in blocks, whole.
+    is done too: it is compared in blocks, whole. A split loses a pair at the
+    threshold from its bucket with probability ``exp(-again)``.
     """
     level = written(_buckets(chosen))
     done, sets = [level.where(F.col("members") <= small)], None
@@ -167,7 +168,7 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
 
 
 def jaccard_join(
-    docs: DataFrame, *, size: int = 5, threshold: float = 0.8, runs: int = 8, small: int = 4096, depth: int = 3, again: float = 1.5, block: int = 1024,
+    docs: DataFrame, *, size: int = 5, threshold: float = 0.8, runs: int = 9, small: int = 4096, depth: int = 3, again: float = 2.5, block: int = 1024,
     low: int = 32,
 ) -> DataFrame:
     """doc_id, class_id, n_links, n_texts of every row: near-duplicate classes by Jaccard similarity of word runs.
@@ -182,7 +183,9 @@ def jaccard_join(
     (threshold * n)`` share of their hashes are chosen; this is ``runs``
     independent samplings at once, and two similar sets meet in at least one
     bucket with probability ``1 - exp(-runs)``. Large buckets split again by
-    further tokens (:func:`leaf_buckets`). A pair that meets in many buckets
+    further tokens (:func:`leaf_buckets`), which costs a pair at the threshold
+    some of its buckets: where all of them split ``depth`` = 3 times, it still
+    meets with probability ``1 - exp(-8)``. A pair that meets in many buckets
     counts only in the least of them. There, the ``low`` least hashes of both
     rule out most pairs that merely share a passage, and the rest are compared
     by their whole sets, which only then are fetched. Nothing is capped: a bucket that cannot be split is
