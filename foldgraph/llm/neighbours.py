@@ -136,7 +136,7 @@ def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
 
 def nearest(
     vectors: DataFrame, *, every: int = 20, k: int = 20, key: str = "vec_id", column: str = "embedding", rows_per_block: int = 8192,
-    projections: int = 8, leaf: int = 512, sure: float = 0.7, seed: int = 1,
+    projections: int = 8, leaf: int = 512, sure: float = 0.95, seed: int = 1,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every``, its ``k`` nearest other rows.
 

@@ -54,3 +54,35 @@ def test_few_and_none(spark):
 def test_chi_square_points():
     for p, degrees, point in ((0.95, 1, 3.841), (0.5, 2, 1.386), (0.9, 8, 13.362)):
         assert abs(nb.chi_square_point(p, degrees) - point) < 1e-3
+
+
+def recall(spark, ids, data, every=20, k=20):
+    """Recall of the query's own defaults; a neighbour as near as the last one of brute force counts."""
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, data)], "vec_id long, embedding array<double>")
+    got, place = found(nb.nearest(df, every=every, k=k)), {int(i): n for n, i in enumerate(ids)}
+    shares = []
+    for i in ids[ids % every == 0]:
+        scores = data @ data[place[int(i)]]
+        scores[place[int(i)]] = -np.inf
+        least = np.partition(scores, -k)[-k]
+        shares.append(sum(scores[place[j]] >= least - 1e-12 for j in got[int(i)]) / k)
+    return float(np.mean(shares))
+
+
+def test_recall_of_the_defaults_on_all_supplied_vectors(spark):
+    rows = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("embedding is not null").dropDuplicates(["vec_id"]).collect()
+    data = np.array([r.embedding for r in rows], dtype=float)
+    assert recall(spark, np.array([r.vec_id for r in rows]), data) >= 0.9
+
+
+def test_recall_of_the_defaults_on_clusters(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(16, 64))
+    data = centres[rng.integers(0, 16, 8192)] + 0.5 * rng.normal(size=(8192, 64))
+    assert recall(spark, np.arange(8192), data / np.linalg.norm(data, axis=1, keepdims=True)) >= 0.9
+
+
+def test_the_stopping_test_is_sure_enough():
+    import inspect
+
+    assert inspect.signature(nb.nearest).parameters["sure"].default >= 0.95
