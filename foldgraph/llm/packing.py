@@ -10,30 +10,39 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from foldgraph.llm.common import worker_state, written
 
-#: Words and blank-separated chunks remembered by a worker; beyond it the memory starts anew.
+#: Words and odd chunks remembered by a worker; beyond it the memory starts anew.
 MEMORY = 500_000
-#: Characters encoded together by a worker.
+#: Bytes of text encoded together by a worker, or one longer text.
 SLICE = 4_000_000
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``start``, ``size`` of ``values`` that ``chosen`` numbers, one after another, and where each begins."""
+    each = size[chosen]
+    after = np.concatenate([[0], np.cumsum(each)])
+    return values[np.repeat(start[chosen] - after[:-1], each) + np.arange(after[-1])], after
+
+
 class WordEncoder:
     """Ids of whole texts by a ``tokenizers`` file that lower-cases and drops blanks.
 
-    Its pieces never cross blanks, so chunks between blanks are encoded once
-    and remembered. A chunk of plain letters and trailing ASCII marks splits
+    Its pieces never cross blanks, so texts are split at blanks, and equal chunks
+    numbered, by Arrow; only distinct ones are looked at. A chunk of plain letters and trailing ASCII marks splits
     into a lower-case word and the marks; new words are encoded many at a time
-    and told apart by the tokens that end a word. Every other chunk is given
+    and told apart by the tokens that end a word, and remembered. Every other chunk is given
     to the library as it is, and so is a whole text with one of the four
     control characters that Python, but not the library, takes for a blank.
     """
 
-    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
-    control = re.compile("[\x1c-\x1f]")
+    plain = "[A-Za-zÀ-ÖØ-öø-ÿ]*"
+    marked = rf"^(?P<word>{plain})(?P<marks>[!-/:-@\[-`{{-~]*)$"
+    control = "[\x1c-\x1f]"
 
     def __init__(self, document: str):
         import os
@@ -47,54 +56,55 @@ class WordEncoder:
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {"": b""}
-        self.chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: set[str]) -> None:
-        known, words, split, odd = self.words, set(), {}, []
-        for c in chunks:
-            m = self.plain.fullmatch(c)
-            if m is None:
-                odd.append(c)
-                continue
-            word, marks = m[1].lower(), m[2]
-            split[c] = (word, marks)
-            if word not in known:
-                words.add(word)
-            if marks not in known:
-                known[marks] = self._encode([marks])[0]
-        fresh = list(words)
-        groups = [fresh[i : i + 200] for i in range(0, len(fresh), 200)]
+    def _learn(self, fresh: list[str]) -> None:
+        letters = re.compile(self.plain).fullmatch
+        words, odd = [], []
+        for s in fresh:
+            (words if letters(s) else odd).append(s)
+        groups = [words[i : i + 200] for i in range(0, len(words), 200)]
         for group, packed in zip(groups, self._encode([" ".join(g) for g in groups])):
-            ids = np.frombuffer(packed, dtype="<u4")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            cuts = ((np.flatnonzero(self.ends[np.frombuffer(packed, dtype="<u4")]) + 1) * 4).tolist()
             if len(cuts) != len(group):
                 raise ValueError("the vocabulary does not mark the ends of words")
-            at = 0
-            for word, end in zip(group, cuts.tolist()):
-                known[word] = packed[at:end]
-                at = end
-        for c, (word, marks) in split.items():
-            self.chunks[c] = known[word] + known[marks]
-        self.chunks.update(zip(odd, self._encode(odd)))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.chunks) > MEMORY or len(self.words) > MEMORY:
-            self.chunks, self.words = {}, {"": b""}
-        whole = {i for i, t in enumerate(texts) if self.control.search(t)}
-        split = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        new: set[str] = set()
-        for parts in split:
-            new.update([c for c in parts if c not in self.chunks])
-        self._learn(new)
-        get = self.chunks.__getitem__
-        out = [b"".join(map(get, parts)) for parts in split]
-        for i in whole:
-            out[i] = self._encode([texts[i]])[0]
+            self.known.update(zip(group, [packed[x:y] for x, y in zip([0, *cuts], cuts)]))
+        self.known.update(zip(odd, self._encode(odd)))
+
+    def _packed(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, marks or odd chunks: all ids, and where those of each begin and how many they are."""
+        strings = strings.to_pylist()
+        packed = list(map(self.known.get, strings))
+        if None in packed:
+            self._learn([s for s, p in zip(strings, packed) if p is None])
+            packed = list(map(self.known.__getitem__, strings))
+        size = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+        return np.frombuffer(b"".join(packed), dtype="<u4"), np.cumsum(size) - size, size
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; none for null."""
+        if len(self.known) > MEMORY:
+            self.known = {"": b""}
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        whole = pc.match_substring_regex(texts, self.control)
+        split = pc.utf8_split_whitespace(pc.if_else(whole, pa.scalar("", pa.large_string()), texts) if pc.any(whole).as_py() else texts)
+        chunks = split.flatten().dictionary_encode()
+        parts = pc.extract_regex(chunks.dictionary, self.marked)
+        words = pc.coalesce(pc.utf8_lower(pc.struct_field(parts, "word")), chunks.dictionary).dictionary_encode()
+        marks = pc.coalesce(pc.struct_field(parts, "marks"), pa.scalar("", pa.large_string())).dictionary_encode()
+        ids, start, size = zip(self._packed(words.dictionary), self._packed(marks.dictionary))
+        # A chunk is its word's ids and its marks' ids.
+        both = np.stack([words.indices.to_numpy(), marks.indices.to_numpy() + len(words.dictionary)], axis=1).ravel()
+        of_chunks, after = gathered(np.concatenate(ids), np.concatenate([start[0], start[1] + len(ids[0])]), np.concatenate(size), both)
+        flat, after = gathered(of_chunks, after[:-1:2], np.diff(after[::2]), chunks.indices.to_numpy())
+        offsets = split.offsets.to_numpy()
+        ends = after[offsets - offsets[0]].tolist()
+        out = [flat[x:y].tobytes() for x, y in zip(ends, ends[1:])]
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._encode([texts[i].as_py()])[0]
         return out
 
 
@@ -112,9 +122,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, grid:
         encoder = worker_state(f"words-{hashlib.sha256(document.value.encode()).hexdigest()}", lambda: WordEncoder(document.value))
         end = end_id.to_bytes(4, "little")
 
-        def flush(rows: list[int], texts: list[str], keys: pa.Array) -> pa.RecordBatch:
+        def flush(texts: pa.Array, keys: pa.Array) -> pa.RecordBatch:
             of, starts, lengths, crcs, totals = [], [], [], [], []
-            for row, packed in zip(rows, encoder.encode(texts)):
+            for row, packed in enumerate(encoder.encode(texts)):
                 packed += end
                 n, at = len(packed) // 4, 0
                 for size in cut(n, capacity, grid):
@@ -130,17 +140,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, grid:
             )
 
         for batch in batches:
-            rows, texts, held = [], [], 0
-            for i, value in enumerate(batch.column(1)):
-                text = value.as_py() or ""
-                rows.append(i)
-                texts.append(text)
-                held += len(text)
-                if held >= SLICE:
-                    yield flush(rows, texts, batch.column(0))
-                    rows, texts, held = [], [], 0
-            if rows:
-                yield flush(rows, texts, batch.column(0))
+            held = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            first = 0
+            while first < batch.num_rows:
+                after = int(np.searchsorted(held, (held[first - 1] if first else 0) + SLICE)) + 1
+                yield flush(batch.column(1).slice(first, after - first), batch.column(0).slice(first, after - first))
+                first = after
 
     kind = dict(docs.dtypes)[key]
     return docs.select(key, F.col("text").cast("string")).mapInArrow(run, f"{key} {kind}, {PIECES}")
