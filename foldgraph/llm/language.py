@@ -63,24 +63,30 @@ class Model:
 
 
 def fit(
-    labelled: DataFrame, *, text: str = "text", lang: str = "lang", max_documents: int = 8_000, max_words: int = 40_000, max_grams: int = 40_000,
+    labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", max_documents: int = 8_000, least_documents: int = 200, max_words: int = 40_000, max_grams: int = 40_000,
     min_count: int = 3, longest: int = 4,
 ) -> Model | None:
-    """Learn from at most about ``max_documents`` labelled rows, chosen by a hash of the text, whole texts each.
+    """Learn from about ``max_documents`` labelled rows at most, whole texts each.
 
+    Every language gets an equal part of them, ``least_documents`` at least, or
+    all rows if it has fewer. Rows are chosen by a hash of ``key`` and text, so
+    that copies of a text are taken by their share, not all or none.
     Words and n-grams are counted by Spark; the most frequent ``max_words`` and
     ``max_grams`` seen ``min_count`` times come to the driver, so the model has
     one bounded size. N-grams are counted once a distinct word, so that what
     unknown words look like is not drowned by the commonest words. Rows
     without text or language teach nothing; None if there is none.
     """
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    total = rows.count()
-    if not total:
+    rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = found.count()
+    if not langs:
         return None
-    share = min(1.0, max_documents / total)
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    wanted = max(least_documents, max_documents // langs)
+    # One row a language, as many as the model has columns, is broadcast.
+    # A hash is uniform over the longs; the share is compared as a fraction of them, so it may be as small as it needs to be.
+    place = F.xxhash64("key", "text").cast("double") / F.lit(2.0**64) + 0.5
+    rows = rows.join(F.broadcast(found.select("lang", (F.lit(float(wanted)) / F.col("n")).alias("share"))), "lang").where(place < F.col("share"))
     split = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     counted = written(rows.select("lang", split.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
 
@@ -103,6 +109,8 @@ def fit(
     )
     every = both.groupBy("kind", "item").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     sums = both.groupBy("kind", "lang").agg(F.sum("n").alias("n")).collect()
+    if not sums:  # no word in any text
+        return None
     langs = sorted({r.lang for r in sums})
     size = {k: np.array([next((r.n for r in sums if r.kind == k and r.lang == g), 0) for g in langs], dtype=float) for k in "wg"}
     # What a language has not shown is equally unlikely in each, however much of it was read.

@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 LETTERS = r"[^\W\d_]+"
-#: Hits of indicator words above which a toxic row's grade is 2 and 3.
-STEPS = (3, 8)
+#: Severity grades of toxic rows.
+GRADES = 3
+#: Folds of the sample for the margins that grades come from.
+FOLDS = 3
 
 
 class Model:
@@ -64,21 +66,43 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
     return w, theta0 + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
+def cross_fitted_margins(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, label: np.ndarray, fold: np.ndarray, n_features: int, steps: int = 150) -> np.ndarray:
+    """How far each row is beyond the threshold of a binary fit on the other folds."""
+    margin = np.zeros(len(label))
+    for f in np.unique(fold):
+        own = fold == f
+        number = np.cumsum(~own) - 1
+        held = own[rows]
+        if len(set(label[~own].tolist())) < 2:
+            continue
+        w, theta = fit_ordinal(number[rows[~held]], columns[~held], values[~held], label[~own], n_features, steps=steps)
+        margin[own] = np.bincount(rows[held], weights=values[held] * w[columns[held]], minlength=len(label))[own] - theta[0]
+    return margin
+
+
+def graded(label: np.ndarray, margin: np.ndarray, grades: int = GRADES) -> np.ndarray:
+    """0 for clean rows; toxic rows by the quantiles of their margins, 1 to ``grades``, equal margins alike."""
+    bad = margin[label > 0]
+    cuts = np.quantile(bad, np.arange(1, grades) / grades) if len(bad) else np.zeros(grades - 1)
+    return np.where(label > 0, 1 + (margin[:, None] > cuts).sum(axis=1), 0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, max_words: int = 2_000, min_documents: int = 3) -> Model | None:
     """Fit on at most about ``max_rows`` labelled documents, chosen by a hash of doc_id; whole texts each.
 
-    The label says toxic or not; how severe a toxic row is comes from its
-    indicator words, those at least four fifths of whose documents are toxic:
-    grade 1, above 3 hits 2, above 8 hits 3. The features are the
-    ``max_words`` words most associated with the label. Rows without label,
+    The label says toxic or not. How severe a toxic row is, grade 1 to 3, comes
+    from how sure of it models are that have not seen it: the thirds of its
+    margins in binary fits on the other folds (:func:`cross_fitted_margins`). The
+    features are the ``max_words`` words most associated with the label. Rows without label,
     text or doc_id teach nothing; None if either class is missing.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = known.count()
     if total > max_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(max_rows / total * (1 << 20)))
-    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id").select("toxic", "text")
+        known = known.where(F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + 0.5 < max_rows / total)
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), "doc_id")
+    sample = sample.select("toxic", "text", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int").alias("fold"))
     find = re.compile(LETTERS).findall
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,31 +126,34 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, max_words
     chosen = top.orderBy(F.desc("z"), "word").limit(max_words).collect()
     words = [r.word for r in chosen]
     number = {w: i for i, w in enumerate(words)}
-    indicators = {r.word for r in chosen if r.bad >= 0.8 * (r.bad + r.clean)}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grades, at, values = [], [], []
+            label, at, values = [], [], []
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hits = Counter([w for w in find(text.lower()) if w in number])
-                severe = sum(c for w, c in hits.items() if w in indicators)
-                grades.append(1 + sum(severe > s for s in STEPS) if toxic > 0 else 0)
+                label.append(int(toxic > 0))
                 at.append([number[w] for w in hits])
                 values.append([float(np.log1p(c)) for c in hits.values()])
-            yield pa.RecordBatch.from_arrays([pa.array(grades, pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["grade", "at", "value"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(label, pa.int32()), batch.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
+                names=["label", "fold", "at", "value"],
+            )
 
     # At most max_rows rows of at most max_words numbers; clean rows hold few of the words.
-    got = sample.mapInArrow(features, "grade int, at array<int>, value array<float>").toArrow()
+    got = sample.mapInArrow(features, "label int, fold int, at array<int>, value array<float>").toArrow()
     lengths = got.column("at").combine_chunks().value_lengths().to_numpy()
     rows = np.repeat(np.arange(len(lengths)), lengths)
     columns = got.column("at").combine_chunks().flatten().to_numpy()
     values = got.column("value").combine_chunks().flatten().to_numpy().astype(float)
-    weights, thresholds = fit_ordinal(rows, columns, values, got.column("grade").to_numpy().astype(int), len(words))
+    label = got.column("label").to_numpy().astype(int)
+    grades = graded(label, cross_fitted_margins(rows, columns, values, label, got.column("fold").to_numpy(), len(words)))
+    weights, thresholds = fit_ordinal(rows, columns, values, grades, len(words))
     return Model(words, weights, thresholds)
 
 
 def grade(docs: DataFrame, model: Model | None, *, keep: tuple[str, ...] = ("doc_id",), reject: float = 0.5) -> DataFrame:
-    """``keep`` columns, severity (the expected grade), p_toxic (of grade 1 or more), grade (the likeliest), rejected.
+    """``keep`` columns, severity (the expected grade), p_toxic (of grade 1 or more), rejected (p_toxic is ``reject`` or more), grade (0, or the likeliest above it if rejected).
 
     Null and empty texts, and any text when nothing was learned, have severity
     0 and are not rejected. Rows are independent, repeated rows repeat.
@@ -143,7 +170,7 @@ def grade(docs: DataFrame, model: Model | None, *, keep: tuple[str, ...] = ("doc
                 p = known.at_least(text, find) if known and text else np.zeros(1)
                 severity.append(float(p.sum()))
                 toxic.append(float(p[0]))
-                grades.append(int(np.argmax(np.concatenate([[1.0], p]) - np.concatenate([p, [0.0]]))))
+                grades.append(1 + int(np.argmax(p - np.append(p[1:], 0.0))) if p[0] >= reject else 0)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(len(keep))), pa.array(severity), pa.array(toxic), pa.array(grades, pa.int32()),
                  pa.array([p >= reject for p in toxic])],

@@ -39,23 +39,24 @@ def hashed_rules(rules: DataFrame) -> DataFrame:
     return one.withColumn("digest", digest).withColumn("short", F.substring("digest", 1, PREFIX))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and every suffix of it that starts after a dot."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def host_suffixes(host: Column, labels: list[int]) -> Column:
+    """The ends of a host that have one of these numbers of labels, the whole host included."""
+    n = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    return F.array_compact(F.array(*[F.when(n >= k, F.substring_index(host, ".", -k)) for k in sorted(labels)]).cast("array<string>"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", *, key: str = "page_id", url: str = "url") -> DataFrame:
     """One row per page: key, host, path, the longest rule that fits, verdict.
 
-    Each url is expanded into its host suffixes times the prefixes of its path
-    whose length some rule has; the expressions meet the rules on the first
+    Each url is expanded into the ends of its host that have as many labels as
+    some rule's times the prefixes of its path whose length some rule has, so
+    a very long host or path makes no more of them; the expressions meet the rules on the first
     eight hex digits of their SHA-256 and are confirmed by all of them. The
     longest expression wins, at equal length the longer host, then block. Where
     no rule fits, the rule is null and the verdict is ``default``.
 
-    The lengths of rule paths are the one thing gathered first; they are at
-    most as many as the longest rule path has characters. Rules are joined by a
+    The lengths of rule paths and the label counts of rule hosts are gathered first; they are at
+    most as many as the longest rule has characters. Rules are joined by a
     plain equi-join: Spark broadcasts them only below its size threshold, else
     both sides are shuffled by prefix and adaptive execution splits hot ones.
 
@@ -65,7 +66,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", *, ke
     its count expanded again. Other columns, of any name, are not read.
     """
     hashed = hashed_rules(rules)
-    lengths = [r.n for r in hashed.select(F.length("rule_path").alias("n")).distinct().collect()]
+    lengths, labels = hashed.agg(F.collect_set(F.length("rule_path")), F.collect_set(F.size(F.split("rule_host", r"\.")))).first()
     host, path = url_parts(F.col("_url"))
     judged = (
         pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"))
@@ -76,7 +77,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", *, ke
     prefixes = F.transform(fitting, lambda n: F.substring(F.col("path"), F.lit(1), n))
     expressions = F.flatten(F.transform(F.col("_hosts"), lambda h: F.transform(F.col("_paths"), lambda p: F.sha2(F.concat_ws("/", h, p), 256))))
     expanded = (
-        judged.withColumn("_hosts", F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(host_suffixes(F.col("host"))))
+        judged.withColumn("_hosts", F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(host_suffixes(F.col("host"), labels)))
         .withColumn("_paths", prefixes)
         .select("_key", "_url", "_copies", "host", "path", F.explode_outer(expressions).alias("_digest"))
         .withColumn("_short", F.substring("_digest", 1, PREFIX))

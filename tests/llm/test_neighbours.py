@@ -23,7 +23,7 @@ def found(df):
 
 
 def test_recall_and_scores(spark):
-    vectors = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("vec_id < 4000")
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id < 4000")
     rows = {r.vec_id: np.array(r.embedding, dtype=float) for r in vectors.collect()}
     df = nb.nearest(vectors, rows_per_block=1000)
     got, want = found(df), brute(list(rows.items()), 20, 20)
@@ -70,7 +70,7 @@ def recall(spark, ids, data, every=20, k=20):
 
 
 def test_recall_of_the_defaults_on_all_supplied_vectors(spark):
-    rows = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("embedding is not null").dropDuplicates(["vec_id"]).collect()
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("embedding is not null").dropDuplicates(["vec_id"]).collect()
     data = np.array([r.embedding for r in rows], dtype=float)
     assert recall(spark, np.array([r.vec_id for r in rows]), data) >= 0.9
 

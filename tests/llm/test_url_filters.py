@@ -1,6 +1,8 @@
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from foldgraph.llm import queries, url_filters as uf
 
 URLS = [None, "", "no scheme", "http://", "http://Example.ORG/en/1?x#y", "https://a.b.example.org/es/", "http://org", "http://org/", "http://xorg/a",
@@ -46,3 +48,14 @@ def test_statement(spark, sf):
     con.execute(f"create view pages as select * from '/root/testdata/{sf}/pages.parquet'")
     want = sorted(map(repr, con.execute(queries.OP9_SQL).fetchall()))
     assert sorted(repr(tuple(r)) for r in queries.op9_url_filters(spark, f"/root/testdata/{sf}").collect()) == want
+
+
+def test_very_long_hosts_and_paths(spark):
+    """A host of many labels makes as many expressions as the rules have label counts, not one a label."""
+    rules = [("block", "a.b", "/x"), ("allow", "b", "/")]
+    urls = ["http://" + "a." * 60_000 + "b/x" + "/y" * 50_000, "http://" + "." * 20_000 + "b/", "http://a.b", "http://b/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = sorted((r.page_id, r.rule, r.verdict) for r in uf.judge_urls(pages, uf.rule_table(spark, rules)).collect())
+    assert got == [(0, "a.b/x", "block"), (1, "b/", "allow"), (2, None, "allow"), (3, "b/", "allow")]
+    host = spark.range(1).select(uf.host_suffixes(F.lit("w.x.y.z"), [1, 3, 9]).alias("s")).first().s
+    assert host == ["z", "x.y.z"]
