@@ -1,8 +1,12 @@
+import csv
+import io
+import random
+
 import pytest
 
 from foldgraph.errors import RecordError
 from foldgraph.operators.records import Columns
-from foldgraph.sources.tables import read_records
+from foldgraph.sources.tables import read_records, scan_table
 
 HEAD = "transcript_id\tsequence\tsecondary_structure"
 
@@ -115,3 +119,70 @@ def test_files_follow_each_other_by_path(spark, tmp_path):
             put(folder, "\n".join([HEAD + "\tnote", *lines]) + "\n", f"{name}.tsv")
         got = [r.graph_id for r in read_records(spark, str(folder)).records.orderBy("record_ord").collect()]
         assert got == [f"a{i}" for i in range(40)] + ["b0"] + [f"c{i}" for i in range(7)]
+
+
+def quoted_table(seed, rows):
+    """A table in which fields hold delimiters, quotes and line breaks, and some rows are short, long or blank."""
+    rng = random.Random(seed)
+
+    def field():
+        text = "".join(rng.choice(["a", "b", '"', "\n", "\n\n", ",", " ", "xyz" * 9]) for _ in range(rng.randrange(5)))
+        if any(c in text for c in ',\n"') or rng.random() < 0.1:
+            return '"' + text.replace('"', '""') + '"'
+        return text if rng.random() < 0.8 else text + 'q"'
+
+    lines = [",".join(["h0", '"h\n1"', "h2"])]
+    for _ in range(rows):
+        lines.append(",".join(field() for _ in range(rng.choice([3, 3, 3, 3, 2, 4]))) if rng.random() < 0.95 else "")
+    return "\n".join(lines) + "\n"
+
+
+def scanned(spark, path, split):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        header, rows = scan_table(spark, path, ",")
+        return header, [tuple(r) for r in rows.orderBy("_row_ord").select(*[f"`{c}`" for c in header], "_line", "_raw", "_extra_fields").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_quoted_breaks_read_alike_at_any_split(spark, tmp_path, seed):
+    text = quoted_table(seed, 150)
+    path = put(tmp_path, text)
+    reader = csv.reader(io.StringIO(text, newline=""))
+    head = next(reader)
+    want = [(tuple([*row, None, None, None][:3]), reader.line_num, len(row) > 3) for row in reader if row]
+    one = scanned(spark, path, "64m")
+    assert one[0] == head == ["h0", "h\n1", "h2"]
+    assert [(r[:3], r[3], r[5]) for r in one[1]] == want
+    assert all(raw in text for raw in (r[4] for r in one[1]))
+    for split in ("1500", "173"):
+        assert scanned(spark, path, split) == one
+
+
+def test_large_table_with_breaks_in_small_splits(spark, tmp_path):
+    lines = [f'id-{i}\tACGU\t....\t"{"x" * (i % 97)}\n{"y" * (i % 89)}"' if i % 3 else f"id-{i}\tACGN\t....\tplain" for i in range(3000)]
+    put(tmp_path, "\n".join([HEAD + "\tnote", *lines]) + "\n")
+    put(tmp_path, f"{HEAD}\tnote\nlast\tACGU\t....\tx\nworse\tACGN\t....\tx\n", "u.tsv")
+    got = []
+    for split in ("64k", "64m"):
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            found = read_records(spark, str(tmp_path))
+            got.append(([r.graph_id for r in found.records.orderBy("record_ord").collect()], [(r.line, r.raw) for r in found.rejects.orderBy("record_ord").collect()]))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got[0] == got[1]
+    assert got[0][0] == [f"id-{i}" for i in range(3000) if i % 3] + ["last"]
+    assert got[0][1] == [(2 + 5 * k, lines[3 * k]) for k in range(1000)] + [(3, "worse\tACGN\t....\tx")]
+
+
+def test_a_quote_that_never_closes_is_an_error(spark, tmp_path):
+    path = put(tmp_path, HEAD + '\nok\tACGU\t....\nbad\t"ACGU\t....\n' + "x\tACGU\t....\n" * 10_001)
+    with pytest.raises(RecordError, match="line 3: a quoted field"):
+        read_records(spark, path)
