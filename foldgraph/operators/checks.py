@@ -61,16 +61,30 @@ def check_unique_ids(records: DataFrame, *scope: str) -> DataFrame:
     return records.groupBy(*scope, "graph_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-def check_values(graphs: DataFrame) -> DataFrame:
-    """Graphs with a feature that is not finite, or an edge leaving the graph."""
+def _value_rules() -> list[tuple[str, Column]]:
     infinite = float("inf")
     strange = lambda v: F.isnan(v) | (F.abs(v) == infinite)
     n = F.col("node_count")
-    rules = [
+    return [
         ("not_finite", F.exists("node_features", lambda f: F.exists(f, strange))),
         ("crossing_edge", F.exists(F.concat("edge_src", "edge_dst"), lambda x: (x < 0) | (x >= n))),
     ]
-    return broken_rules(graphs, rules, "graph_id")
+
+
+def check_values(graphs: DataFrame) -> DataFrame:
+    """Graphs with a feature that is not finite, or an edge leaving the graph."""
+    return broken_rules(graphs, _value_rules(), "graph_id")
+
+
+def refuse_broken(graphs: DataFrame, spec: GraphSpec = GraphSpec(), values: bool = False) -> DataFrame:
+    """``graphs``, of which a row that breaks a rule fails the task that reads it; no pass of its own."""
+    rules = _graph_rules(spec) + (_value_rules() if values else [])
+    fault = F.coalesce(*[F.when(F.coalesce(test, F.lit(True)), F.lit(name)) for name, test in rules])
+    text = F.concat(F.lit("invalid graph "), F.coalesce("graph_id", F.lit("without id")), F.lit(": "), fault)
+    # The verdict is part of two columns that every reader of graphs takes.
+    return graphs.withColumns({
+        c: F.when(fault.isNull(), F.col(c)).otherwise(F.raise_error(text).cast(graphs.schema[c].dataType)) for c in ("graph_id", "node_count")
+    })
 
 
 def check_spec(graphs: DataFrame, spec: GraphSpec = GraphSpec()) -> DataFrame:
@@ -80,31 +94,38 @@ def check_spec(graphs: DataFrame, spec: GraphSpec = GraphSpec()) -> DataFrame:
 
 def shard_counts(graphs: DataFrame, *more: Column) -> DataFrame:
     """Records, nodes, core nodes and edges of each shard, and ``more`` totals of the same pass."""
-    return graphs.groupBy("shard_id").agg(
-        F.count(F.lit(1)).alias("record_count"),
-        F.sum(F.col("node_count").cast("long")).alias("node_count"),
-        F.sum(F.col("core_count").cast("long")).alias("core_count"),
-        F.sum(F.col("edge_count").cast("long")).alias("edge_count"),
-        *more,
-    )
+    counts = [F.sum(F.col(c).cast("long")).alias(c) for c in ("node_count", "core_count", "edge_count")]
+    # The totals come first: in those after them Spark would take node_count for the sum.
+    counted = graphs.groupBy("shard_id").agg(*more, F.count(F.lit(1)).alias("record_count"), *counts)
+    return counted.select("shard_id", "record_count", "node_count", "core_count", "edge_count", *counted.columns[1 : 1 + len(more)])
 
 
-def check_shards(graphs: DataFrame, spec: GraphSpec = GraphSpec(), max_nodes: int = 2**31 - 1) -> DataFrame:
-    """(shard_id, rule, rows): per-graph faults by shard, repeated ids, mixed contracts, size.
-
-    One pass counts every rule, combined before the shuffle; a second one reads the ids alone.
-    """
-    broken = [(name, F.count_if(F.coalesce(test, F.lit(True)))) for name, test in _graph_rules(spec)]
+def judged_shards(graphs: DataFrame, spec: GraphSpec = GraphSpec(), max_nodes: int = 2**31 - 1, *more: Column, values: bool = False) -> DataFrame:
+    """Counts of each shard, ``found`` (rule, rows) of the broken rules, and ``more`` totals, all from one pass."""
+    rules = _graph_rules(spec) + (_value_rules() if values else [])
+    broken = [(name, F.count_if(F.coalesce(test, F.lit(True)))) for name, test in rules]
     contract = F.col("graph_spec_sha256")
     broken.append(("mixed_contract", F.when(F.min(contract) != F.max(contract), 1).otherwise(0).cast("long")))
     nodes = F.sum(F.col("node_count").cast("long"))
     broken.append(("too_many_nodes", F.when(nodes > max_nodes, 1).otherwise(0).cast("long")))
     found = F.array(*[F.struct(F.lit(name).alias("rule"), rows.alias("rows")) for name, rows in broken])
-    faults = graphs.groupBy("shard_id").agg(found.alias("found"))
-    faults = faults.select("shard_id", F.inline(F.filter("found", lambda x: x["rows"] > 0)))
+    return shard_counts(graphs, F.filter(found, lambda x: x["rows"] > 0).alias("found"), *more)
+
+
+def shard_faults(judged: DataFrame, repeats: DataFrame) -> DataFrame:
+    """(shard_id, rule, rows) of judged shards and of their repeated ids."""
+    counted = repeats.groupBy("shard_id").agg(F.count(F.lit(1)).alias("rows"))
+    faults = judged.select("shard_id", F.inline("found"))
+    return faults.unionByName(counted.select("shard_id", F.lit("duplicate_identifier").alias("rule"), "rows"))
+
+
+def check_shards(graphs: DataFrame, spec: GraphSpec = GraphSpec(), max_nodes: int = 2**31 - 1) -> DataFrame:
+    """(shard_id, rule, rows): per-graph faults by shard, repeated ids, mixed contracts, size.
+
+    One pass counts every rule, combined before the shuffle; a second one reads the ids alone.
+    """
     # Counting per id first combines the copies of one id before the shuffle.
-    repeats = check_unique_ids(graphs, "shard_id").groupBy("shard_id").agg(F.count(F.lit(1)).alias("rows"))
-    return faults.unionByName(repeats.select("shard_id", F.lit("duplicate_identifier").alias("rule"), "rows"))
+    return shard_faults(judged_shards(graphs, spec, max_nodes), check_unique_ids(graphs, "shard_id"))
 
 
 def check_offsets(offsets: DataFrame) -> DataFrame:
@@ -118,7 +139,12 @@ def check_offsets(offsets: DataFrame) -> DataFrame:
 
 def check_manifest(graphs: DataFrame, manifest: DataFrame, spec: GraphSpec | None = None) -> DataFrame:
     """(shard_id, rule) of shards that differ from their manifest row."""
-    stored = shard_counts(graphs).select("shard_id", *[F.col(c).alias(f"found_{c}") for c in ("record_count", "node_count", "edge_count")])
+    return manifest_faults(shard_counts(graphs), manifest, spec)
+
+
+def manifest_faults(counts: DataFrame, manifest: DataFrame, spec: GraphSpec | None = None) -> DataFrame:
+    """:func:`check_manifest` for shards that are counted already."""
+    stored = counts.select("shard_id", *[F.col(c).alias(f"found_{c}") for c in ("record_count", "node_count", "edge_count")])
     both = stored.join(manifest, "shard_id", "full_outer")
     unlisted, empty = F.col("format_version").isNull(), F.col("found_record_count").isNull()
     rules = [("not_in_manifest", unlisted), ("no_data", empty), ("version", ~unlisted & (F.col("format_version") != FORMAT_VERSION))]

@@ -909,7 +909,7 @@ def neighbour_sum(spark, sf):
     LAYER + ",\n" + O.conv_sql() + " select graph_id, "
     + ", ".join(f"cast(sum(cast(round(y{i} * 1000.0) as bigint)) as bigint) as s{i}" for i in range(4)) + " from layer group by graph_id"
 )
-def encode_relational(spark, sf):
+def conv_layer(spark, sf):
     graphs, held = small_parts(spark, sf)
     layer = encoder.conv_layer(graphs, held, 0)
     return layer.groupBy("graph_id").agg(*[F.sum(F.round(F.col("h")[i] * 1000.0).cast("long")).alias(f"s{i}") for i in range(4)])
@@ -960,11 +960,47 @@ def encode(spark, sf):
     return matrix_shape(encoder.encode(g, fixtures.weights_from_embeddings(spark, sf, ENCODER), ENCODER))
 
 
-@query(f"with {O.RNA}{O.WINDOWS} select graph_id, cast(core_length as bigint) as core_length, {UNIT_SQL} from wrec")
+def vector_sums(vectors: DataFrame) -> DataFrame:
+    """All components of (graph_id, residue_index, embedding), to three decimals, by graph."""
+    sums = [F.sum(F.round(F.col("embedding")[i] * 1000.0).cast("long") * (F.col("residue_index") + 1)).alias(f"s{i}") for i in range(O.SMALL.out_dim)]
+    return vectors.groupBy("graph_id").agg(F.count(F.lit(1)).alias("core_length"), *sums)
+
+
+def small_windows(spark, sf) -> DataFrame:
+    return G.build_graphs(window_records(spark, sf), O.SMALL.spec, keep_paired_neighbours=True, context_hops=2)
+
+
+def settled_sums(embeddings: DataFrame, graphs: DataFrame, weights: DataFrame) -> DataFrame:
+    """:func:`vector_sums` of 32-bit vectors that are within 0.001 of those of 64 bits.
+
+    Where every component is that near, the 64-bit vector is added up in its
+    place, as its rounding is the same in any engine; else the vector itself
+    is, and the sums differ.
+    """
+    exact = encoder.encode_relational(graphs, weights, O.SMALL).withColumnRenamed("embedding", "exact")
+    both = encoder.unpack_embeddings(embeddings).join(exact, ["graph_id", "residue_index"], "left")
+    far = F.exists(F.zip_with("embedding", "exact", lambda a, b: F.abs(a - b)), lambda d: ~(d < 1e-3))
+    return vector_sums(both.withColumn("embedding", F.when(~far, F.col("exact")).otherwise(F.col("embedding").cast("array<double>"))))
+
+
+@query(O.molecule_vectors())
+def encode_relational(spark, sf):
+    g = G.build_graphs(full_records(spark, sf), O.SMALL.spec)
+    return vector_sums(encoder.encode_relational(g, fixtures.weights_from_embeddings(spark, sf, O.SMALL), O.SMALL))
+
+
+@query(O.molecule_vectors())
+def encode_values(spark, sf):
+    """Every vector of ``encode``, four wide, where ``encode`` itself shows lengths of wider ones."""
+    g, weights = G.build_graphs(full_records(spark, sf), O.SMALL.spec), fixtures.weights_from_embeddings(spark, sf, O.SMALL)
+    return settled_sums(encoder.encode(g, weights, O.SMALL, embedding_dtype="float64"), g, weights)
+
+
+@query(O.window_vectors())
 def collect_matrix(spark, sf):
-    weights = fixtures.weights_from_embeddings(spark, sf, ENCODER)
-    encoded = encoder.encode(window_graphs(spark, sf), weights, ENCODER)
-    return matrix_shape(encoder.collect_matrix(encoder.unpack_embeddings(encoded)))
+    g, weights = small_windows(spark, sf), fixtures.weights_from_embeddings(spark, sf, O.SMALL)
+    matrices = encoder.collect_matrix(encoder.unpack_embeddings(encoder.encode(g, weights, O.SMALL, embedding_dtype="float64")))
+    return settled_sums(matrices, g, weights)
 
 
 # Sinks and jobs ------------------------------------------------------------
@@ -983,9 +1019,10 @@ def encoded_windows(spark, sf) -> DataFrame:
     return encoder.encode(window_graphs(spark, sf), fixtures.weights_from_embeddings(spark, sf, ENCODER), ENCODER)
 
 
-@query(f"with {O.RNA}{O.WINDOWS} select graph_id, cast(core_length as bigint) as core_length, {UNIT_SQL} from wrec")
+@query(O.window_vectors())
 def write_embeddings(spark, sf):
-    return matrix_shape(jobs.write_embeddings(encoded_windows(spark, sf), scratch_dir(spark)))
+    g, weights = small_windows(spark, sf), fixtures.weights_from_embeddings(spark, sf, O.SMALL)
+    return settled_sums(jobs.write_embeddings(encoder.encode(g, weights, O.SMALL, embedding_dtype="float64"), scratch_dir(spark)), g, weights)
 
 
 RUN_MANIFEST = (
@@ -1016,16 +1053,24 @@ def write_manifest(spark, sf):
     return run.select("status", F.col("records").cast("long").alias("records"), "graph_spec_sha256")
 
 
-@query(RUN_MANIFEST)
+RUN_VECTORS = f"select m.*, s0, s1, s2, s3 from ({RUN_MANIFEST.replace(f'cast({ENCODER.out_dim} as', f'cast({O.SMALL.out_dim} as')}) m join ({O.window_vectors()}) v using (graph_id)"
+
+
+def run_and_vectors(spark, sf, path, weights) -> DataFrame:
+    """The manifest of a finished run, and the sums of its vectors."""
+    sums = settled_sums(spark.read.parquet(f"{path}/embeddings"), small_windows(spark, sf), weights)
+    return manifest_rows(spark.read.json(f"{path}/manifest/records")).join(sums.drop("core_length"), "graph_id")
+
+
+@query(RUN_VECTORS)
 def embed_table(spark, sf):
-    path = scratch_dir(spark)
-    weights = fixtures.weights_from_embeddings(spark, sf, ENCODER)
-    jobs.embed_table(spark, windows_table(spark, sf), weights, path, ENCODER, context=jobs.Context(context_hops=2))
-    return manifest_rows(spark.read.json(f"{path}/manifest/records"))
+    path, weights = scratch_dir(spark), fixtures.weights_from_embeddings(spark, sf, O.SMALL)
+    jobs.embed_table(spark, windows_table(spark, sf), weights, path, O.SMALL, context=jobs.Context(context_hops=2), embedding_dtype="float64")
+    return run_and_vectors(spark, sf, path, weights)
 
 
-def window_dataset(spark, sf, path) -> DataFrame:
-    return jobs.build_graph_dataset(spark, windows_table(spark, sf), path, context=jobs.Context(context_hops=2), checksum=True)
+def window_dataset(spark, sf, path, spec: GraphSpec = GraphSpec()) -> DataFrame:
+    return jobs.build_graph_dataset(spark, windows_table(spark, sf), path, spec, context=jobs.Context(context_hops=2), checksum=True)
 
 
 @query(
@@ -1036,22 +1081,22 @@ def build_graph_dataset(spark, sf):
     return window_dataset(spark, sf, scratch_dir(spark)).drop("elapsed_seconds")
 
 
-@query(RUN_MANIFEST)
+@query(RUN_VECTORS)
 def embed_graph_dataset(spark, sf):
     graphs_at, path = scratch_dir(spark), scratch_dir(spark)
-    window_dataset(spark, sf, graphs_at)
-    weights = fixtures.weights_from_embeddings(spark, sf, ENCODER)
-    jobs.embed_graph_dataset(spark, graphs_at, weights, path, ENCODER, verify_checksum=True)
-    return manifest_rows(spark.read.json(f"{path}/manifest/records"))
+    window_dataset(spark, sf, graphs_at, O.SMALL.spec)
+    weights = fixtures.weights_from_embeddings(spark, sf, O.SMALL)
+    jobs.embed_graph_dataset(spark, graphs_at, weights, path, O.SMALL, verify_checksum=True, embedding_dtype="float64")
+    return run_and_vectors(spark, sf, path, weights)
 
 
-@query(f"with {O.RNA}{O.WINDOWS} select graph_id, cast(core_length as bigint) as core_length, {UNIT_SQL} from wrec", name="embed_arriving_shards")
+@query(O.window_vectors(), name="embed_arriving_shards")
 def embed_arriving(spark, sf):
     incoming, out = scratch_dir(spark), scratch_dir(spark)
-    window_dataset(spark, sf, f"{incoming}/first")
-    run = embed_arriving_shards(spark, incoming, fixtures.weights_from_embeddings(spark, sf, ENCODER), out, ENCODER)
-    run.awaitTermination()
-    return matrix_shape(spark.read.parquet(f"{out}/embeddings"))
+    window_dataset(spark, sf, f"{incoming}/first", O.SMALL.spec)
+    weights = fixtures.weights_from_embeddings(spark, sf, O.SMALL)
+    embed_arriving_shards(spark, incoming, weights, out, O.SMALL).awaitTermination()
+    return settled_sums(spark.read.parquet(f"{out}/embeddings").drop("batch"), small_windows(spark, sf), weights)
 
 
 # Flagship ------------------------------------------------------------------

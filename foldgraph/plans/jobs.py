@@ -10,13 +10,14 @@ import numpy as np
 import pyspark
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from foldgraph.errors import GraphError
 from foldgraph.functions.features import spec_fingerprint
 from foldgraph.operators import packing
-from foldgraph.operators.encoder import check_sizes, encode
+from foldgraph.operators.encoder import encode
 from foldgraph.operators.graphs import build_graphs
 from foldgraph.operators.records import Columns, require_non_empty
 from foldgraph.session import materialize
-from foldgraph.sources.shards import read_shards, row_hash, write_shards
+from foldgraph.sources.shards import read_once, row_hash, write_shards
 from foldgraph.sources.tables import read_records
 from foldgraph.spec import EncoderShape, GraphSpec
 
@@ -139,14 +140,22 @@ def embed_graph_dataset(
     validation: str = "metadata",
     checksum: bool = False,
 ) -> DataFrame:
-    """Stored shards -> embeddings and manifest; returns the run row."""
+    """Stored shards -> embeddings and manifest; returns the run row.
+
+    The graphs are read once, besides their ids and sizes: the pass that encodes
+    them judges them too, and the run row, without which a folder is not whole,
+    is written only if what was read agrees with their manifest.
+    """
     started = time.time()
-    graphs = read_shards(spark, graphs_at, shape.spec, verify_checksum=verify_checksum, validation=validation)
-    check_sizes(graphs, shape, max_batch_nodes, max_batch_edges)
+    graphs, pending = read_once(spark, graphs_at, shape.spec, verify_checksum=verify_checksum, validation=validation)
+    for most, limit, what in ((pending.most_nodes, max_batch_nodes, "max_batch_nodes"), (pending.most_edges, max_batch_edges, "max_batch_edges")):
+        if most > limit:
+            raise GraphError(f"a graph has size {most}, above {what}={limit}")
     encoded = encode(
         graphs, weights, shape, max_batch_nodes=max_batch_nodes, max_batch_edges=max_batch_edges, embedding_dtype=embedding_dtype
     )
     stored = write_embeddings(encoded, path)
+    pending.confirm()
     run = {
         "input": graphs_at, "graph_spec_sha256": shape.spec.fingerprint, "weights_checksum": weights_checksum(weights),
         "elapsed_seconds": time.time() - started,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from foldgraph.functions.vectors import NORM_FLOOR
 from foldgraph.spec import EncoderShape, GraphSpec
 
 SHARD_RECORDS, SHARD_NODES = 64, 20_000
@@ -206,8 +207,8 @@ def wide(alias: str, tensor: str) -> str:
     return f"{alias} as (select {cells} from {small_weights(tensor)})"
 
 
-def layer_sql() -> str:
-    """Input layer and the neighbour sums of one encoder layer, four wide."""
+def layer_sql(nodes: str = "par", edges: str = "edg") -> str:
+    """Input layer and the neighbour sums of one encoder layer, four wide, over nodes (graph_id, pos, base, state) and edges."""
     h = 4
     parts = [
         wide("wi", "input.weight"), wide("bi", "input.bias"),
@@ -218,14 +219,14 @@ def layer_sql() -> str:
         known = [f"case when base = '{b}' then wi_{i}_{k} else 0 end" for k, b in enumerate("ACGU")]
         known.append(f"case when state <> '.' then wi_{i}_4 else 0 end")
         terms.append(f"bi_0_{i} + {' + '.join(known)} as h{i}")
-    parts.append(f"st as (select graph_id, pos, {', '.join(terms)} from par cross join wi cross join bi)")
+    parts.append(f"st as (select graph_id, pos, {', '.join(terms)} from {nodes} cross join wi cross join bi)")
     kinds = " union all ".join(
         f"select {t} as edge_type, {', '.join(f'we_{i}_{t} + be_0_{i} as k{i}' for i in range(h))} from we cross join be" for t in range(6)
     )
     parts.append(f"kv as ({kinds})")
     sums = ", ".join(f"sum(greatest(s.h{i} + kv.k{i}, 0)) as a{i}" for i in range(h))
     parts.append(
-        f"ag as (select x.graph_id, x.dst as pos, {sums} from edg x join st s on s.graph_id = x.graph_id and s.pos = x.src "
+        f"ag as (select x.graph_id, x.dst as pos, {sums} from {edges} x join st s on s.graph_id = x.graph_id and s.pos = x.src "
         "join kv on kv.edge_type = x.edge_type group by x.graph_id, x.dst)"
     )
     both = ", ".join(f"st.h{i}, coalesce(ag.a{i}, 0) as a{i}" for i in range(h))
@@ -258,3 +259,42 @@ def conv_sql() -> str:
     out = ", ".join(f"h{i} + ((o{i} - mean) / sd * ng_0_{i} + ns_0_{i}) as y{i}" for i in range(h))
     parts.append(f"layer as (select graph_id, pos, {out} from spread cross join ng cross join ns)")
     return ",\n".join(parts)
+
+
+#: Nodes of the windows' graphs, numbered as their edges are.
+WINDOW_NODES = """,
+wnode as (select l.graph_id, l.idx as pos, l.pos as residue, l.role, p.base, p.state from sel l join par p on p.graph_id = l.molecule_id and p.pos = l.pos)
+"""
+
+
+def head_sql() -> str:
+    """The head and the unit vectors ``vec`` (graph_id, pos, e0 ... e3) of every node."""
+    h = 4
+    names = {"ha": "head.0.weight", "hb": "head.0.bias", "hc": "head.2.weight", "hd": "head.2.bias"}
+    parts = [wide(alias, name) for alias, name in names.items()]
+    inner = ", ".join(f"greatest({' + '.join(f'y{i} * ha_{j}_{i}' for i in range(h))} + hb_0_{j}, 0) as z{j}" for j in range(h))
+    parts.append(f"headed as (select graph_id, pos, {inner} from layer cross join ha cross join hb)")
+    outer = ", ".join(f"{' + '.join(f'z{j} * hc_{i}_{j}' for j in range(h))} + hd_0_{i} as v{i}" for i in range(h))
+    parts.append(f"outed as (select graph_id, pos, {outer} from headed cross join hc cross join hd)")
+    parts.append(f"norms as (select *, greatest(sqrt({' + '.join(f'v{i} * v{i}' for i in range(h))}), {NORM_FLOOR}) as norm from outed)")
+    parts.append(f"vec as (select graph_id, pos, {', '.join(f'v{i} / norm as e{i}' for i in range(h))} from norms)")
+    return ",\n".join(parts)
+
+
+VECTOR_SUMS = "count(*) as core_length, " + ", ".join(f"cast(sum(cast(round(e{i} * 1000.0) as bigint) * (residue + 1)) as bigint) as s{i}" for i in range(4))
+
+
+def molecule_vectors() -> str:
+    """A digest of all vectors of every whole molecule."""
+    return (
+        f"with {RNA}{EDGES},\n{layer_sql()},\n{conv_sql()},\n{head_sql()} "
+        f"select graph_id, {VECTOR_SUMS} from (select *, pos as residue from vec) v group by graph_id"
+    )
+
+
+def window_vectors() -> str:
+    """A digest of the core vectors of every window, with context of two hops."""
+    return (
+        f"with {RNA}{EDGES}{WINDOWS}{context(2)}{WINDOW_NODES},\n{layer_sql('wnode', 'ind')},\n{conv_sql()},\n{head_sql()} "
+        f"select graph_id, {VECTOR_SUMS} from vec join wnode using (graph_id, pos) where role = 0 group by graph_id"
+    )
