@@ -83,11 +83,16 @@ def batch_norm_eval(vector: Column, gain, shift, mean, variance) -> Column:
     return F.zip_with(F.zip_with(vector, literal(factor), lambda v, f: v * f), literal(offset), lambda v, o: v + o)
 
 
-def _round_half(values: pa.Array) -> pa.Array:
-    flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float16).astype(np.float32)
-    lengths = pa.compute.list_value_length(values).fill_null(0).to_numpy(zero_copy_only=False)
-    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=values.is_null() if values.null_count else None)
+def _round_half(x: Column) -> Column:
+    """A double rounded to half precision, ties to even: 11 significant bits, steps of 2**-24 below 2**-14, infinite from 65520 on."""
+    size = F.abs(x)
+    guess = F.floor(F.log2(size))  # one off at most, beside a power of two
+    power = F.pow(F.lit(2.0), guess)
+    exponent = guess + F.when(2 * power <= size, 1).when(power > size, -1).otherwise(0)
+    step = F.pow(F.lit(2.0), F.greatest(exponent, F.lit(-14)) - 10)
+    rounded = F.rint(x / step) * step
+    infinite = F.lit(float("inf"))
+    return F.when(F.isnan(x) | (size == 0) | (size == infinite), x).when(F.abs(rounded) > 65504, F.signum(x) * infinite).otherwise(rounded)
 
 
 def cast_embedding(vector: Column, dtype: str = "float16") -> Column:
@@ -99,5 +104,5 @@ def cast_embedding(vector: Column, dtype: str = "float16") -> Column:
     if dtype not in kinds:
         raise ValueError(f"embeddings are float16, float32 or float64, not {dtype}")
     if dtype == "float16":
-        return F.arrow_udf(_round_half, T.ArrayType(T.FloatType()))(vector.cast("array<double>"))
+        return F.transform(vector.cast("array<double>"), _round_half).cast("array<float>")
     return vector.cast(T.ArrayType(kinds[dtype]))

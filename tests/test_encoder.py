@@ -111,6 +111,24 @@ def test_half_precision_column(spark):
         V.cast_embedding(F.col("v"), "int8")
 
 
+def test_half_precision_equals_the_hardware_format(spark):
+    rng = np.random.default_rng(6)
+    every = np.arange(0, 0x7C00, 7, dtype=np.uint16).view(np.float16).astype(np.float64)
+    ties = (every[:-1] + every[1:]) / 2
+    edges = [65504.0, 65519.999, 65520.0, 1e300, 2.0**-14, 2.0**-24, 2.0**-25, 2.0**-25 * 1.0001, 1e-300, 5e-324, np.inf, 0.0]
+    powers = np.ldexp(1.0, np.arange(-26, 17))
+    values = np.concatenate([every, ties, edges, powers, np.nextafter(powers, 0), np.nextafter(powers, np.inf), rng.normal(size=2000), np.exp(rng.uniform(-20, 12, 2000))])
+    values = np.concatenate([values, -values, [np.nan]])
+    df = spark.createDataFrame([(values.tolist(),)], "v array<double>").select(V.cast_embedding(F.col("v")).alias("v"))
+    plan = df._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    with np.errstate(over="ignore"):
+        want = values.astype(np.float16).astype(np.float64)
+    got = np.array(df.first().v)
+    np.testing.assert_array_equal(got, want)
+    np.testing.assert_array_equal(np.signbit(got[:-1]), np.signbit(want[:-1]))
+
+
 def test_zero_vector_keeps_its_floor(spark):
     row = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<float>").select(V.l2_normalize(F.col("v")).alias("v")).collect()
     assert [r.v for r in row] == [[0.0, 0.0], [0.6, 0.8]]
