@@ -145,15 +145,15 @@ def _promising(batches: Iterator[pa.RecordBatch], threshold: float, low: int) ->
 def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """For each set with a link here: its links, their documents, and the least set it is tied to here."""
     for table in stream_groups(batches, "bucket", "i", "j"):
-        group, copies, name = _Group(table, "tokens"), table.column("copies").to_numpy(), table.column("name").to_numpy()
+        group, copies = _Group(table, "tokens"), table.column("copies").to_numpy()
         x, y = group.pairs(threshold, lambda both, small, large: both >= threshold * (small + large - both))
         if not len(x):
             continue
         m = len(group.set)
         texts = np.bincount(x, minlength=m) + np.bincount(y, minlength=m)
         documents = np.bincount(x, weights=copies[y], minlength=m) + np.bincount(y, weights=copies[x], minlength=m)
-        root = name.copy()
-        while True:  # the least name spreads over the links
+        root = group.set.copy()
+        while True:  # the least set spreads over the links
             before = root.copy()
             np.minimum.at(root, x, root[y])
             np.minimum.at(root, y, root[x])
@@ -161,9 +161,8 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
                 break
         linked = texts > 0
         yield pa.RecordBatch.from_arrays(
-            [pa.array(group.set[linked]), pa.array(name[linked]), pa.array(root[linked]), pa.array(texts[linked].astype(np.int64)),
-             pa.array(documents[linked].astype(np.int64))],
-            names=["set", "name", "root", "texts", "documents"],
+            [pa.array(group.set[linked]), pa.array(root[linked]), pa.array(texts[linked].astype(np.int64)), pa.array(documents[linked].astype(np.int64))],
+            names=["set", "root", "texts", "documents"],
         )
 
 
@@ -171,13 +170,14 @@ def jaccard_join(
     docs: DataFrame, *, size: int = 5, threshold: float = 0.8, runs: int = 9, small: int = 4096, depth: int = 3, again: float = 2.5, block: int = 1024,
     low: int = 32,
 ) -> DataFrame:
-    """doc_id, class_id, n_links, n_texts of every row: near-duplicate classes by Jaccard similarity of word runs.
+    """doc_id, class_id, n_links, n_texts, class_key, text_hash of every row: near-duplicate classes by Jaccard similarity of word runs.
 
     Two texts are linked if the sets of their runs of ``size`` words (a shorter
     text is one run) have a similarity of ``threshold`` or more. ``class_id``
     is the least doc_id that a row is connected to by links, ``n_links`` the
     number of other documents linked to it directly, ``n_texts`` the number
-    of different texts among them besides its own.
+    of different texts among them besides its own. ``class_key`` names the
+    class by its texts, ``text_hash`` (XXH64) the row's text.
 
     Chosen paths: of a set with n tokens, those in the lowest ``runs /
     (threshold * n)`` share of their hashes are chosen; this is ``runs``
@@ -197,7 +197,8 @@ def jaccard_join(
 
     Texts without words have no runs and link to nothing; rows without doc_id
     cannot be named, link to nothing and have a null class. Rows that repeat a
-    doc_id with different texts share a class. Only doc_id and text are read.
+    doc_id with different texts are different documents: their classes may
+    share a ``class_id``, not a ``class_key``. Only doc_id and text are read.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tokens = F.sort_array(F.array_distinct(shingle_hashes(F.col("text"), size)))
@@ -205,7 +206,8 @@ def jaccard_join(
     set_key = F.when((F.size("tokens") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("tokens"))
     first = _chosen(F.col("tokens"), lambda t: t, F.col("size"), runs / threshold)
     members = written(
-        hashed.select("doc_id", set_key.alias("set"), F.size("tokens").alias("size"), "tokens").withColumn("first", first)
+        hashed.select("doc_id", set_key.alias("set"), F.size("tokens").alias("size"), "tokens", F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+        .withColumn("first", first)
         .withColumn("low", F.slice("tokens", 1, low)).drop("tokens")
     )
     named_sets = members.where("set is not null")
@@ -239,33 +241,40 @@ def jaccard_join(
         open_rows.mapInArrow(lambda batches: _promising(batches, threshold, low), "bucket long, i int, j int, block int, set long, size int, leaves array<long>")
     )
     rows = dealt(promising.join(whole_sets(promising), "set").select("bucket", "i", "j", "block", "set", "name", "size", "copies", "tokens", "leaves"))
-    found = written(rows.mapInArrow(lambda batches: _verified(batches, threshold), "set long, name long, root long, texts long, documents long"))
+    found = written(rows.mapInArrow(lambda batches: _verified(batches, threshold), "set long, root long, texts long, documents long"))
 
-    classes = components(found.select(F.col("name").alias("a"), F.col("root").alias("b")))
+    classes = components(found.select(F.col("set").alias("a"), F.col("root").alias("b")))
+    tied = classes.select("node", "root").unionByName(classes.select(F.col("root").alias("node"), "root").distinct())
+    named_classes = tied.join(distinct, F.col("node") == F.col("set")).groupBy("root").agg(F.min("name").alias("class_id"))
+    in_class = tied.join(named_classes, "root").select("node", "root", "class_id")
     links = found.groupBy("set").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     by_set = (
-        distinct.join(links, "set", "left").join(classes, F.col("name") == F.col("node"), "left")
-        .select("set", F.coalesce("root", "name").alias("class_id"), (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                F.coalesce("texts", F.lit(0)).alias("n_texts"))
+        distinct.join(links, "set", "left").join(in_class, F.col("set") == F.col("node"), "left")
+        .select("set", F.coalesce("class_id", "name").alias("class_id"), F.coalesce("root", "set").alias("class_key"),
+                (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
     )
     zero = F.lit(0).cast("long")
-    return members.select("doc_id", "set").join(by_set, "set", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_texts", zero).alias("n_texts")
+    return members.select("doc_id", "set", "text_hash").join(by_set, "set", "left").select(
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_texts", zero).alias("n_texts"),
+        "class_key", "text_hash",
     )
 
 
 def keep_first(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """One row of each class: that whose doc_id names it; of rows that repeat this doc_id, the one with the least text.
+    """One row of each class: that of least doc_id and, among its texts, of least hash; of rows that repeat both, the least by its columns.
 
-    Rows without doc_id stay.
+    Rows without doc_id, and without words unless they repeat doc_id and text, stay.
     """
-    gone = joined.where("doc_id is not null and doc_id <> class_id").select(F.col("doc_id").alias("__llm_id")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__llm_id"), "left_anti")
-    repeated = joined.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    document = ["doc_id", "text_hash"]
+    rows = joined.where("doc_id is not null").groupBy("class_key", *document).agg(F.count(F.lit(1)).alias("n"))
+    first = rows.where("class_key is not null").groupBy("class_key").agg(F.min(F.struct(*document)).alias("first"), F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    gone = rows.join(first, "class_key").where(F.struct(*document) != F.col("first")).select(F.col("doc_id").alias("__llm_id"), F.col("text_hash").alias("__llm_hash"))
+    named = (F.col("doc_id").cast("long") == F.col("__llm_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__llm_hash"))
+    left = docs.join(gone, named, "left_anti")
+    repeated = rows.where("n > 1").select(F.col("doc_id").alias("__llm_id"), F.col("text_hash").alias("__llm_hash"))
     if repeated.isEmpty():
         return left
-    least = docs.join(repeated.select(F.col("doc_id").alias("__llm_id")), F.col("doc_id") == F.col("__llm_id"), "left_semi")
-    one = least.withColumn("__llm_h", F.sha2(F.coalesce("text", F.lit("")), 256)).groupBy("doc_id").agg(F.min(F.struct("__llm_h", *[c for c in docs.columns if c != "doc_id"])).alias("__llm_r"))
-    single = left.join(repeated.select(F.col("doc_id").alias("__llm_id")), F.col("doc_id") == F.col("__llm_id"), "left_anti")
-    back = one.select("doc_id", *[F.col("__llm_r")[c].alias(c) for c in docs.columns if c != "doc_id"]).join(gone, F.col("doc_id") == F.col("__llm_id"), "left_anti")
-    return single.unionByName(back.select(*docs.columns))
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = left.join(repeated, named, "left_semi").groupBy(F.col("doc_id").alias("__llm_id"), F.xxhash64(F.col("text").cast("string")).alias("__llm_hash"))
+    one = again.agg(F.min_by(every, F.to_json(every)).alias("__llm_r")).select("__llm_r.*")
+    return left.join(repeated, named, "left_anti").unionByName(one)

@@ -46,7 +46,7 @@ def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    return jaccard.jaccard_join(_table(spark, sf, "documents"))
+    return jaccard.jaccard_join(_table(spark, sf, "documents")).drop("class_key", "text_hash")
 
 
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:

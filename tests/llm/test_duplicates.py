@@ -236,3 +236,60 @@ def test_splits_keep_the_recall_of_pairs_at_the_threshold(table):
         rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:76]))]
     lost = jj.jaccard_join(table(rows), small=1).where("doc_id % 2 = 1 and n_links = 0").count()
     assert lost <= 3  # 0.03 % are 0.6
+
+
+def test_passages_whose_short_runs_have_other_owners(table):
+    """Two documents share 60 words; each four of them in a row stand in some earlier document as well."""
+    rng = random.Random(41)
+    word = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = word(60)
+    rows = [(i, " ".join(word(30) + passage[i : i + 4] + word(30))) for i in range(57)]
+    rows += [(1000, " ".join(word(30) + passage + word(30))), (1001, " ".join(word(40) + passage + word(20)))]
+    for at_once in (500_000, 200):
+        found = covered(ps.repeated_passages(table(rows), words_at_once=at_once))
+        assert set(found) == {1001} and found[1001] == set(range(40, 100))
+
+
+def test_common_seeds_stream_through_small_parts(table, prose):
+    """A passage in half of all documents, with tasks that send and resolve seeds a few hundred words at a time."""
+    passage = prose(7777, 70)
+    rows = [(i, prose(i, 50) + " " + (passage + " " if i % 2 else "") + prose(900 + i, 40)) for i in range(160)]
+    found = covered(ps.repeated_passages(table(rows), words_at_once=300, words_per_part=500))
+    assert set(found) == set(range(3, 160, 2)) and all(set(range(50, 120)) <= f and len(f) <= 74 for f in found.values())
+
+
+def test_recall_of_words_put_in_and_left_out(table):
+    """Passages of 60 to 100 words with up to a tenth of them left out, or as many put in, at random."""
+    rng = random.Random(51)
+    word = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, wanted = [], {}
+    for n in (60, 80, 100):
+        for share in (0.03, 0.06, 0.1):
+            for kind in ("out", "in"):
+                for _ in range(4):
+                    passage, chosen = word(n), set(rng.sample(range(1, n - 1), int(share * n)))
+                    copy = [w for i, w in enumerate(passage) if i not in chosen] if kind == "out" else [x for i, w in enumerate(passage) for x in ([w, *word(1)] if i in chosen else [w])]
+                    source = 2 * len(wanted) + 1
+                    rows += [(source, " ".join(word(40) + passage + word(40))), (source + 1, " ".join(word(25) + copy + word(25)))]
+                    wanted[source + 1] = set(range(25, 25 + len(copy)))
+    found = covered(ps.repeated_passages(table(rows)))
+    whole = sum(len(w & found.get(d, set())) >= 0.9 * len(w) for d, w in wanted.items())
+    assert set(found) <= set(wanted) and whole >= 0.9 * len(wanted), (whole, len(wanted))
+
+
+def test_texts_that_share_an_id_are_told_apart(spark, table, prose):
+    a, b, passage = prose(1, 90), prose(2, 200), prose(3, 70)
+    docs = table([(7, a), (8, a), (8, b)])
+    kept = jj.keep_first(docs, jj.jaccard_join(docs))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(7, a), (8, b)]
+    docs = table([(1, prose(4, 20) + " " + passage), (2, prose(5, 30) + " " + passage), (2, b), (2, b)])
+    found = ps.repeated_passages(docs)
+    left = sorted(r.text for r in ps.remove_passages(docs, found).where("doc_id = 2").collect())
+    assert covered(found) == {2: set(range(30, 100))} and left == sorted([b, b, prose(5, 30) + " "])
+
+
+def test_keep_first_with_columns_that_have_no_order(spark, prose):
+    text = prose(1, 60)
+    docs = spark.createDataFrame([(1, text, {"a": 1}), (1, text, {"a": 2}), (2, text, {}), (3, prose(2, 60), None)], "doc_id long, text string, more map<string,int>")
+    kept = jj.keep_first(docs, jj.jaccard_join(docs))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, text), (3, prose(2, 60))] and kept.columns == docs.columns
