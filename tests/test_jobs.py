@@ -41,7 +41,7 @@ def test_staged_equals_direct(spark, weights, tmp_path):
     for name, x in staged.items():
         np.testing.assert_allclose(x, direct[name], rtol=1e-5, atol=3e-7)
     rows = {r.graph_id: r for r in spark.read.json(f"{out['direct']}/manifest/records").collect()}
-    assert (rows["a:9-16"].start, rows["a:9-16"].end, rows["a:9-16"].core_length, rows["a:9-16"].node_count) == (9, 16, 7, 12)
+    assert (rows["a:9-16"].start, rows["a:9-16"].end, rows["a:9-16"].core_length, rows["a:9-16"].node_count) == (9, 16, 7, 15)
     assert (rows["b-full"].length, rows["b-full"].embedding_dim) == (8, 5)
     in_order = [r.graph_id for r in sorted(rows.values(), key=lambda r: r.record_ord)]
     assert in_order == ["a:9-16", "a:6-12", "a-full", "b:9-16", "b:6-12", "b-full"]
