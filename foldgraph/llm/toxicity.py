@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, max_words
     return Model(words, weights, thresholds)
 
 
-def grade(docs: DataFrame, model: Model | None, *, keep: tuple[str, ...] = ("doc_id",), reject: float = 0.5) -> DataFrame:
+def grade(docs: DataFrame, model: Model | None, *, keep: tuple[str, ...] = ("doc_id",), reject: float = 0.3) -> DataFrame:
     """``keep`` columns, severity (the expected grade), p_toxic (of grade 1 or more), rejected (p_toxic is ``reject`` or more), grade (0, or the likeliest above it if rejected).
 
     Null and empty texts, and any text when nothing was learned, have severity
@@ -181,7 +181,7 @@ def grade(docs: DataFrame, model: Model | None, *, keep: tuple[str, ...] = ("doc
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
 
 
-def keep_civil(docs: DataFrame, model: Model | None, *, reject: float = 0.5) -> DataFrame:
+def keep_civil(docs: DataFrame, model: Model | None, *, reject: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that :func:`grade` does not reject, with their columns, in one pass over the texts."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

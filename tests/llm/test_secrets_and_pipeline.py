@@ -79,3 +79,24 @@ def test_pipeline(spark):
     assert all(labels.get(i) != 0 for i in set(a) - set(b)) and all(labels.get(i) != 1 for i in b)
     final = cp.run(spark, SF).collect()
     check_packing(final, [(i, r.text) for i, r in rows["secret_scan"][1].items()])
+
+
+def test_pipeline_stages_take_odd_rows_and_empty_tables(spark, table, edge, prose):
+    """Null, empty, blank, very long and repeated texts, null and shared ids, and more columns pass all stages."""
+    import corpus_pipeline as cp
+
+    passage = prose(70, 60)
+    rows = edge + [(90_020, prose(21, 50) + " " + passage), (90_021, prose(22, 50) + " " + passage), (90_022, f"token = {KEY}")]
+    for docs in (table(rows), table([])):
+        before = docs
+        for name, stage in cp.STAGES[:-1]:
+            after = stage(spark, before, SF)
+            assert after.columns == docs.columns, name
+            before = spark.createDataFrame(after.collect(), docs.schema)
+        left = {(r.doc_id, r.text) for r in before.collect()}
+        pieces = cp.STAGES[-1][1](spark, before, SF).collect()
+        assert sum(r.start == 0 for r in pieces) == before.count()
+        if rows and left:
+            same = prose(1, 80)
+            assert {(1, None), (2, ""), (3, " \n\t "), (4, "Word"), (7, same), (8, prose(8, 70)), (None, None)} <= left and (8, same) not in left
+            assert [t for i, t in left if i == 90_021] == [prose(22, 50) + " "] and [t for i, t in left if i == 90_022] == ["[secret]"]
