@@ -25,6 +25,8 @@ from foldgraph.session import cut_lineage
 from foldgraph.spec import CORE, EncoderShape
 
 NEEDED = ["node_features", "edge_src", "edge_dst", "edge_types", "residue_index", "node_roles"]
+#: Nodes whose matrices are worked on together; those of more leave the processor's cache.
+NODES_AT_ONCE = 8_000
 PASSED = ["graph_id", "length", "start", "end", "node_count", "record_ord"]
 
 
@@ -164,7 +166,8 @@ def encode(
             nodes = batch["residue_index"].value_lengths().to_numpy(zero_copy_only=False)
             edges = batch["edge_src"].value_lengths().to_numpy(zero_copy_only=False)
             at = 0
-            for end in _batch_ends(nodes, edges, max_batch_nodes, max_batch_edges):
+            together = min(max_batch_nodes, max(NODES_AT_ONCE, nodes.max(initial=0)))
+            for end in _batch_ends(nodes, edges, together, max_batch_edges):
                 rows = batch.slice(at, end - at)
                 residues, matrix = _encode_rows(held.value, shape, rows, half, out_type)
                 passed = [rows[name] for name in PASSED]
