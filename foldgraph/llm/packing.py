@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from foldgraph.llm.common import worker_state, written
 
 #: Words and odd chunks remembered by a worker; beyond it the memory starts anew.
-MEMORY = 500_000
+MEMORY = 250_000
 #: Bytes of text encoded together by a worker, or one longer text.
 SLICE = 4_000_000
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
