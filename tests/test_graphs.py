@@ -1,6 +1,8 @@
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +182,36 @@ def test_graph_building_does_not_shuffle(records):
     text = plan._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     above = text.split("ArrowEvalPython")[0]
     assert "Exchange" not in above
+
+
+def test_roles_are_not_made_anew_for_each_residue(spark, records):
+    g = G.build_graphs(records([("a", *STEM, "4", "12")]), keep_paired_neighbours=True, context_hops=2)
+    plan = G.core_span(g)._jdf.queryExecution().optimizedPlan().toString()
+    kept = next(line for line in plan.split("\n") if "filter(residue_index" in line)
+    assert "transform(" not in re.search(r"filter\(residue_index#\d+, lambdafunction\((.*)", kept)[1].split(", lambda")[0]
+    assert [tuple(r) for r in G.core_span(g).select("core_start", "core_end").collect()] == [(4, 12)]
+
+
+@pytest.mark.parametrize("residues_at_once", [1, 400_000])
+def test_edges_of_a_batch_against_a_loop(spark, monkeypatch, residues_at_once):
+    from foldgraph.functions import edges as E
+
+    monkeypatch.setattr(E, "RESIDUES_AT_ONCE", residues_at_once)
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (0, 1, 2, 3, 30, 7):
+        partner, free = [-1] * n, list(range(n))
+        while len(free) > 4:
+            a, b = (free.pop(int(rng.integers(len(free)))) for _ in range(2))
+            partner[a], partner[b] = b, a
+        rows.append((sorted(int(x) for x in np.flatnonzero(rng.random(n) < 0.7)), partner))
+    batch = (pa.array([r for r, _ in rows], pa.list_(pa.int32())), pa.array([p for _, p in rows], pa.list_(pa.int32())))
+    made = [x for part in E._by_some_rows(lambda r, p: E._edges(r, p, True), 0)(iter([batch])) for x in part.to_pylist()]
+    for (r, partner), got in zip(rows, made, strict=True):
+        at = {p: k for k, p in enumerate(r)}
+        chain = [(at[p], at[p + 1]) for p in r if p + 1 in at]
+        pairs = [(at[p], at[partner[p]]) for p in r if partner[p] > p and partner[p] in at]
+        hops = [(at[p], at[p + 2]) for p in r if p + 2 in at]
+        want = [(a, b, 0) for a, b in chain] + [(b, a, 1) for a, b in chain] + [(a, b, 2) for a, b in pairs] + [(b, a, 3) for a, b in pairs]
+        want += [e for a, b in hops for e in ((a, b, 4), (b, a, 5))]
+        assert list(zip(got["src"], got["dst"], got["types"])) == want
