@@ -215,3 +215,13 @@ def test_edges_of_a_batch_against_a_loop(spark, monkeypatch, residues_at_once):
         want = [(a, b, 0) for a, b in chain] + [(b, a, 1) for a, b in chain] + [(a, b, 2) for a, b in pairs] + [(b, a, 3) for a, b in pairs]
         want += [e for a, b in hops for e in ((a, b, 4), (b, a, 5))]
         assert list(zip(got["src"], got["dst"], got["types"])) == want
+
+
+def test_pack_sends_an_edge_as_one_number_and_keeps_odd_ones(spark):
+    nodes = spark.createDataFrame([("a", 0, 0, 0, [1.0])], "graph_id string, node_idx int, residue_index int, node_role byte, features array<float>")
+    rows = [("a", 2, 5, 6, 1), ("a", 0, 4095, 7, 5), ("a", 1, None, 2, 3), ("a", 3, -1, 2**30, 100), ("a", 2, 5, 6, 1)]
+    edges = spark.createDataFrame(rows, "graph_id string, edge_ord int, src int, dst int, edge_type byte")
+    packed = G.pack_graphs(nodes, edges)
+    (got,) = packed.collect()
+    assert list(zip(got.edge_src, got.edge_dst, got.edge_types)) == [(4095, 7, 5), (None, 2, 3), (5, 6, 1), (5, 6, 1), (-1, 2**30, 100)]
+    assert "near" in packed._jdf.queryExecution().optimizedPlan().toString()
