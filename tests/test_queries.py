@@ -27,3 +27,12 @@ def test_query(spark, name):
 
 def test_every_query_has_a_statement_but_the_hash():
     assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"dataset_checksum"}
+
+
+def test_slice_of_a_document_with_fewer_molecules_than_asked_for(spark, tmp_path):
+    for pieces in (0, 1, 2, 4):
+        rows = [(1, "ACGU" * 300, "en", "x", 1200)] + [(0, "A" * (400 * pieces), "en", "x", 400 * pieces)]
+        sf = str(tmp_path / str(pieces))
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+        got = catalog.QUERIES["slice_shard"](spark, sf).collect()
+        assert sorted(r.node_ptr for r in got) == [400 * i for i in range(min(2, max(0, pieces - 1)))]
