@@ -41,6 +41,18 @@ def test_both_formulations_agree(graphs, weights):
         np.testing.assert_allclose(x, other[name], atol=2e-6)
 
 
+def test_relational_encoder_of_one_layer_moves_no_rows(graphs):
+    shape = EncoderShape(hidden=4, layers=1, out_dim=3)
+    weights = E.formula_weights(graphs.sparkSession, shape).cache()
+    vectors = E.encode_relational(graphs, weights, shape)
+    plan = vectors._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    direct, other = matrices(E.encode(graphs, weights, shape, embedding_dtype="float64")), matrices(E.collect_matrix(vectors))
+    assert direct.keys() == other.keys()
+    for name, x in direct.items():
+        np.testing.assert_allclose(x, other[name], atol=2e-6)
+
+
 def test_neighbour_sums_against_a_loop_and_without_a_shuffle(graphs, weights):
     held = E.load_weights(weights, SHAPE)
     by_kind = held["convs.0.edge_lin.weight"].T + held["convs.0.edge_lin.bias"]

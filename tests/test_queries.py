@@ -9,6 +9,7 @@ from foldgraph.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["edge_census", "reject_rows", "expand_context", "reindex_nodes", "assign_shards", "neighbour_sum", "check_graphs", "relative_position"]
+NAMES += ["checksum_damage", "conv_layer", "core_span", "encode_relational", "pack_graphs"]
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="the supplied tables are not here")
