@@ -144,3 +144,23 @@ def test_half_precision_equals_the_hardware_format(spark):
 def test_zero_vector_keeps_its_floor(spark):
     row = spark.createDataFrame([([0.0, 0.0],), ([3.0, 4.0],)], "v array<float>").select(V.l2_normalize(F.col("v")).alias("v")).collect()
     assert [r.v for r in row] == [[0.0, 0.0], [0.6, 0.8]]
+
+
+def test_dense_steps_are_not_one_generated_method(graphs, weights):
+    held = E.load_weights(weights, SHAPE)
+    stated = E.with_states(graphs, held)
+    for df in (stated.select("h"), E.conv_layer(stated, held, 0), E.encode_relational(graphs, E.formula_weights(graphs.sparkSession, EncoderShape(hidden=4, layers=1, out_dim=3)), EncoderShape(hidden=4, layers=1, out_dim=3))):
+        assert " * " not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vectors_by_batches_equal_column_arithmetic(spark):
+    rng = np.random.default_rng(3)
+    weight, bias = rng.normal(size=(3, 2)).astype(np.float32), rng.normal(size=3).astype(np.float32)
+    rows = [(rng.normal(size=(n, 2)).tolist(),) for n in (3, 1)] + [([],), (None,), ([[1.0, None], None, [2.0], [0.5, 0.25, 9.0]],)]
+    df = spark.createDataFrame(rows, "m array<array<double>>").coalesce(1)
+    each = F.transform("m", lambda v: V.linear(v, weight, bias))
+    got = [(r.a, r.b) for r in df.select(V.linear_each(F.col("m"), weight, bias).alias("a"), each.alias("b")).collect()]
+    assert len(got) == 5 and all(a == b for a, b in got)
+    flat = df.limit(2).select(F.explode("m").alias("v"))
+    both = flat.select(V.dense(lambda x: V.rectified(V.affine(x, weight, bias)), "v").alias("a"), V.relu(V.linear(F.col("v"), weight, bias)).alias("b")).collect()
+    assert len(both) == 4 and all(r.a == r.b for r in both)
