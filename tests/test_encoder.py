@@ -164,3 +164,37 @@ def test_vectors_by_batches_equal_column_arithmetic(spark):
     flat = df.limit(2).select(F.explode("m").alias("v"))
     both = flat.select(V.dense(lambda x: V.rectified(V.affine(x, weight, bias)), "v").alias("a"), V.relu(V.linear(F.col("v"), weight, bias)).alias("b")).collect()
     assert len(both) == 4 and all(r.a == r.b for r in both)
+
+
+def test_layers_against_a_loop():
+    """Nodes that no edge reaches and that get two edges of a kind, large weights, no edges; an edge that leaves is refused."""
+    rng = np.random.default_rng(5)
+    w = {name: (rng.integers(-64, 64, size) / 8).astype(np.float32) for name, size in SHAPE.tensors().items()}
+    for k in range(SHAPE.layers):
+        w[f"convs.{k}.mlp.1.running_var"] = np.abs(w[f"convs.{k}.mlp.1.running_var"]) + 1
+    features = rng.integers(0, 2, (9, SHAPE.spec.feature_width)).astype(np.float32)
+    src, dst, kind = np.array([0, 1, 2, 3, 5, 6, 7, 7]), np.array([1, 0, 3, 2, 6, 6, 8, 0]), np.array([0, 1, 2, 3, 4, 4, 0, 5])
+
+    wide = {name: x.astype(np.float64) for name, x in w.items()}
+    affine = lambda name, x: x @ wide[f"{name}.weight"].T + wide[f"{name}.bias"]
+    h = affine("input", features)
+    for k in range(SHAPE.layers):
+        conv = f"convs.{k}"
+        total = (1 + wide[f"{conv}.eps"][0, 0]) * h
+        for a, b, c in zip(src, dst, kind):
+            total[b] += np.maximum(h[a] + (wide[f"{conv}.edge_lin.weight"].T + wide[f"{conv}.edge_lin.bias"])[c], 0)
+        x, of = affine(f"{conv}.mlp.0", total), lambda p: wide[f"{conv}.mlp.1.{p}"]  # noqa: E731, B023
+        x = (x - of("running_mean")) / np.sqrt(of("running_var") + V.BATCH_NORM_EPS) * of("weight") + of("bias")
+        x = affine(f"{conv}.mlp.4", np.maximum(x, 0))
+        x = x - x.mean(axis=1, keepdims=True)
+        x = x / np.sqrt((x * x).mean(axis=1, keepdims=True) + V.LAYER_NORM_EPS)
+        h = h + x * wide[f"norms.{k}.weight"] + wide[f"norms.{k}.bias"]
+    want = affine("head.2", np.maximum(affine("head.0", h), 0))
+
+    prepared = E._prepared(w, SHAPE)
+    np.testing.assert_allclose(E._run_layers(prepared, SHAPE, features, src, dst, kind), want, rtol=1e-4, atol=1e-3 * np.abs(want).max())
+    none = np.zeros(0, np.int64)
+    assert np.isfinite(E._run_layers(prepared, SHAPE, features, none, none, none)).all()
+    for bad in (-1, 9):
+        with pytest.raises(IndexError):
+            E._run_layers(prepared, SHAPE, features, np.array([bad]), np.array([0]), np.array([0]))
