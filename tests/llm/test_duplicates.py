@@ -293,3 +293,21 @@ def test_keep_first_with_columns_that_have_no_order(spark, prose):
     docs = spark.createDataFrame([(1, text, {"a": 1}), (1, text, {"a": 2}), (2, text, {}), (3, prose(2, 60), None)], "doc_id long, text string, more map<string,int>")
     kept = jj.keep_first(docs, jj.jaccard_join(docs))
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, text), (3, prose(2, 60))] and kept.columns == docs.columns
+
+
+def test_dealt_numbers_come_back_and_take_little_room():
+    rng = np.random.default_rng(3)
+    doc = np.repeat(np.sort(rng.integers(-(2**62), 2**62, 300)), 40)
+    doc = np.concatenate([doc, [2**63 - 1, -(2**63), 0]])
+    columns = {"seed": rng.integers(0, 2**32, len(doc)).astype(np.uint32), "doc": doc, "at": (np.arange(len(doc)) % 700).astype(np.int32)}
+    part = rng.integers(0, 8, len(doc)).astype(np.int32)
+    rows = ps.dealt_rows(part, columns, 2)
+    assert sum(rows.column("n").to_pylist()) == len(doc) and sum(len(x) for x in rows.column("doc").to_pylist()) < 3 * len(doc)
+    for i in range(rows.num_rows):
+        row = rows.slice(i, 1)
+        here = part == rows.column("part")[i].as_py() * 2 + rows.column("kind")[i].as_py()
+        for name, values in columns.items():
+            np.testing.assert_array_equal(ps.unpacked(row, name, values.dtype), values[here])
+    for name, values in columns.items():
+        order = np.argsort(part, kind="stable")
+        np.testing.assert_array_equal(ps.unpacked(rows, name, values.dtype), values[order])

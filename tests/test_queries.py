@@ -37,3 +37,19 @@ def test_slice_of_a_document_with_fewer_molecules_than_asked_for(spark, tmp_path
         spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
         got = catalog.QUERIES["slice_shard"](spark, sf).collect()
         assert sorted(r.node_ptr for r in got) == [400 * i for i in range(min(2, max(0, pieces - 1)))]
+
+
+def test_shape_of_matrices_is_judged_in_generated_code(spark):
+    unit, long = [1.0] + [0.0] * 31, [0.5] * 32
+    rows = [("a", [unit, unit]), ("b", [unit, long]), ("c", []), ("d", [[float("nan")] * 32])]
+    got = catalog.matrix_shape(spark.createDataFrame(rows, "graph_id string, embedding array<array<float>>"))
+    assert {r.graph_id: (r.core_length, r.embedding_dim, r.unit) for r in got.collect()} == {
+        "a": (2, 32, True), "b": (2, 32, False), "c": (0, None, True), "d": (1, 32, False)
+    }
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the supplied tables are not here")
+@pytest.mark.parametrize("name", ["encode", "write_manifest"])
+def test_encoder_query(spark, name):
+    test_query(spark, name)
