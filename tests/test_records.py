@@ -93,3 +93,21 @@ def test_column_names_are_checked(spark):
             Columns().resolve(present)
     df = spark.createDataFrame([("ACGU", "a", "....")], "Bases string, name string, fold string")
     assert records_from_df(df, Columns("name", "Bases", "fold")).checked().count() == 1
+
+
+def test_letters_of_texts_as_pieces_of_bases(spark):
+    from foldgraph.functions.text import base_pieces
+
+    texts = [(0, None), (1, ""), (2, "é1 \n"), (3, "aBcD-eZ"), (4, "xé" * 9), (5, "Ab c")]
+    rows = spark.createDataFrame(texts, "i int, t string").coalesce(1)
+    got = {r.i: r.p for r in rows.select("i", base_pieces("t", 4).alias("p")).collect()}
+    assert got == {0: [], 1: [], 2: [], 3: ["ACGU", "AC"], 4: ["UUUU", "UUUU", "U"], 5: ["ACG"]}
+
+
+def test_scratch_of_judged_records_holds_each_text_once(spark):
+    from foldgraph.operators.records import judged_records
+
+    rows = spark.createDataFrame([(0, " m ", " acgt ", "(())"), (1, "n", "ACGN", "....")], "o long, transcript_id string, sequence string, secondary_structure string")
+    judged = judged_records(rows, order="o")
+    assert not {"raw_sequence", "raw_structure"} & set(judged.columns)
+    assert sorted((r.molecule_id, r.sequence, r.fault and r.fault.rule) for r in judged.collect()) == [("m", "ACGU", None), ("n", "ACGN", "sequence_alphabet")]
