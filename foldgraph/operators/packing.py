@@ -306,11 +306,18 @@ def concat_graphs(*sets: DataFrame) -> DataFrame:
 
 
 def shard_edges(graphs: DataFrame) -> DataFrame:
-    """Edges of each shard with node numbers counted over the whole shard."""
-    offsets = csr_offsets(graphs).select("shard_id", "record_ord", "node_ptr", "edge_ptr")
-    placed = graphs.select("shard_id", "record_ord", "graph_id", "edge_src", "edge_dst", "edge_types").join(
-        offsets, ["shard_id", "record_ord"]
-    )
+    """Edges of each shard with node numbers counted over the whole shard.
+
+    Graphs with a node_ptr and edge_ptr, of records joined to ``csr_offsets``
+    before they were built, stay where they are: a record is some thirty times shorter than its edges.
+    """
+    if {"node_ptr", "edge_ptr"} <= set(graphs.columns):
+        placed = graphs
+    else:
+        offsets = csr_offsets(graphs).select("shard_id", "record_ord", "node_ptr", "edge_ptr")
+        placed = graphs.select("shard_id", "record_ord", "graph_id", "edge_src", "edge_dst", "edge_types").join(
+            offsets, ["shard_id", "record_ord"]
+        )
     zipped = F.arrays_zip("edge_src", "edge_dst", "edge_types")
     return placed.select("shard_id", "graph_id", "node_ptr", "edge_ptr", F.posexplode(zipped).alias("at", "e")).select(
         "shard_id", "graph_id",

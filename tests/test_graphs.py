@@ -225,3 +225,51 @@ def test_pack_sends_an_edge_as_one_number_and_keeps_odd_ones(spark):
     (got,) = packed.collect()
     assert list(zip(got.edge_src, got.edge_dst, got.edge_types)) == [(4095, 7, 5), (None, 2, 3), (5, 6, 1), (5, 6, 1), (-1, 2**30, 100)]
     assert "near" in packed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_windows_along_molecules_shuffle_records_and_not_positions(spark, records):
+    r = records([("a", *STEM), ("b", "ACGU", "(())")])
+    depth = G.bracket_depth(G.explode_nucleotides(G.by_molecule(r)))
+    plan = depth._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+    assert sorted(tuple(x) for x in depth.collect()) == sorted(tuple(x) for x in G.bracket_depth(G.explode_nucleotides(r)).collect())
+
+
+def test_nodes_without_features_do_not_make_them(records):
+    g = G.build_graphs(records([("a", *STEM)]))
+    short = G.unpack_nodes(g, features=False)
+    assert "node_features" not in short._jdf.queryExecution().optimizedPlan().toString()
+    assert short.collect() == G.unpack_nodes(g).drop("features").collect()
+
+
+def test_edge_digests_and_entries_against_expressions(spark):
+    from pyspark.sql import functions as F
+
+    from foldgraph.functions.edges import edge_digests, entries_at
+
+    rows = [([0, 1], [1, 0], [0, 1], [5, 9]), ([], [], [], []), ([0, 7, -1], [2, 1, 1], [3, 3, 4], [8]), (None, [1], [0], [4]), ([0, None], [1, 1], [2, 2], None)]
+    df = spark.createDataFrame(rows, "s array<int>, d array<int>, t array<tinyint>, r array<int>").coalesce(1)
+    line = lambda x: F.concat(x["s"].cast("string"), F.lit(">"), x["d"].cast("string"), F.lit(":"), x["t"].cast("string"))
+    got = df.select(edge_digests("s", "d", "t").alias("e"), entries_at("s", "r").alias("at")).collect()
+    want = df.select(F.md5(F.array_join(F.transform(F.arrays_zip("s", "d", "t"), line), ",")).alias("e")).collect()
+    assert [r.e for r in got] == [r.e for r in want]
+    assert [r.at for r in got] == [[5, 9], [], [8, None, None], None, [None, None]]
+
+
+def test_rules_in_generated_code_agree_with_lambdas(spark):
+    from pyspark.sql import functions as F
+
+    from foldgraph.operators import checks
+
+    lists = [[], [0, 3], [-1], [4], [None], [0, None], [None, -2], [None, 4], None]
+    df = spark.createDataFrame([(x, n) for x in lists for n in (4, None)], "x array<int>, n int").coalesce(1)
+    new, old = checks._outside(F.col("x"), F.col("n")), F.exists("x", lambda x: (x < 0) | (x >= F.col("n")))
+    assert [r for r in df.select("x", "n", new.alias("a"), old.alias("b")).collect() if r.a != r.b] == []
+    nan, inf = float("nan"), float("inf")
+    vectors = [[[0.0, 1.0]], [[nan]], [[1.0], [-inf]], [[inf, None]], [[None, 1.0]], [None], [[], []], [], None]
+    df = spark.createDataFrame([(v, []) for v in vectors], "node_features array<array<float>>, e array<int>").coalesce(1)
+    df = df.select("node_features", F.col("e").alias("edge_src"), F.col("e").alias("edge_dst"), F.lit(1).alias("node_count"))
+    rule = dict(checks._value_rules())["not_finite"]
+    assert "lambda" not in df.select(rule)._jdf.queryExecution().optimizedPlan().toString()
+    strange = F.exists("node_features", lambda f: F.exists(f, lambda v: F.isnan(v) | (F.abs(v) == inf)))
+    assert [r for r in df.select("node_features", rule.alias("a"), strange.alias("b")).collect() if r.a != r.b] == []

@@ -77,3 +77,16 @@ def test_offsets_slices_and_unions(records):
         P.concat_graphs(g.limit(0))
     with pytest.raises(GraphError, match="share an identifier"):
         P.concat_graphs(g, g.where("graph_id = 'r2'"))
+
+
+def test_edges_of_placed_graphs_stay_where_they_are(records):
+    from pyspark.sql import functions as F
+
+    r = records([("a", "ACGUACGU", "((....))"), ("b", "GGAACCUU", "........"), ("c", "ACGU", "....")])
+    r = r.withColumn("shard_id", F.pmod("record_ord", F.lit(2)))
+    g = G.build_graphs(r)
+    offsets = P.csr_offsets(g).select("shard_id", "record_ord", "node_ptr", "edge_ptr").collect()
+    offsets = r.sparkSession.createDataFrame(offsets, "shard_id long, record_ord long, node_ptr long, edge_ptr long")
+    placed = P.shard_edges(G.build_graphs(r.join(F.broadcast(offsets), ["shard_id", "record_ord"])))
+    assert "Exchange hash" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, placed.collect())) == sorted(map(tuple, P.shard_edges(g).collect()))
