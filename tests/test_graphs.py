@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldgraph.errors import GraphError
+from foldgraph.functions import pairing
 from foldgraph.functions.pairing import scan_brackets
 from foldgraph.operators import graphs as G
 from foldgraph.spec import GraphSpec
@@ -273,3 +274,25 @@ def test_rules_in_generated_code_agree_with_lambdas(spark):
     assert "lambda" not in df.select(rule)._jdf.queryExecution().optimizedPlan().toString()
     strange = F.exists("node_features", lambda f: F.exists(f, lambda v: F.isnan(v) | (F.abs(v) == inf)))
     assert [r for r in df.select("node_features", rule.alias("a"), strange.alias("b")).collect() if r.a != r.b] == []
+
+
+def test_rows_go_to_python_a_megabyte_at_a_time(records):
+    """10,000 rows with their arrays are some hundred megabytes; no batch of a step is much above its limit."""
+    graphs = G.build_graphs(records([(f"m{i}", "ACGU" * 100, "((((....))))" + "." * 388) for i in range(300)]))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    got = graphs.select("node_features", "edge_src", "edge_dst", "edge_types").mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in got) == 300 and max(r.bytes for r in got) < 2**21
+
+
+def test_brackets_are_scanned_in_parts(monkeypatch):
+    texts = pa.array(["((..))", None, "", "(()", "())(", ".", "(((...)))..()"] * 5)
+    whole = [pairing._scanned(texts, pairs).to_pylist() for pairs in (True, False)]
+    monkeypatch.setattr(pairing, "CHARACTERS_AT_ONCE", 7)
+    most, scanned = [], pairing._scanned
+    monkeypatch.setattr(pairing, "_scanned", lambda part, pairs: most.append(len("".join(x or "" for x in part.to_pylist()))) or scanned(part, pairs))
+    assert [f(texts).to_pylist() for f in (pairing._scan, pairing._unmatched)] == whole and len(most) > 4 and max(most) <= 20
+    assert pairing._scan(texts.slice(0, 0)).to_pylist() == []
