@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from foldgraph.errors import GraphError
 from foldgraph.functions import vectors as V
 from foldgraph.operators import checks, encoder as E, graphs as G
+from foldgraph.plans import catalog, oracle as O
 from foldgraph.spec import EncoderShape, GraphSpec
+from foldgraph.streaming.arriving import split_seen
 from tests.conftest import STEM
 
 SHAPE = EncoderShape(hidden=6, layers=2, out_dim=5)
@@ -198,3 +200,37 @@ def test_layers_against_a_loop():
     for bad in (-1, 9):
         with pytest.raises(IndexError):
             E._run_layers(prepared, SHAPE, features, np.array([bad]), np.array([0]), np.array([0]))
+
+
+def test_vectors_are_compared_by_graph_and_never_broadcast(spark, records):
+    """Near vectors are added up at 64 bits, far ones and those without a partner as they are."""
+    g, weights = G.build_graphs(records(MOLECULES), O.SMALL.spec).cache(), E.formula_weights(spark, O.SMALL).cache()
+    vectors = E.encode(g, weights, O.SMALL, embedding_dtype="float64").cache()
+    exact = E.encode_relational(g, weights, O.SMALL)
+    assert "Broadcast" not in catalog.settled_sums(vectors, g, weights)._jdf.queryExecution().executedPlan().toString()
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.collect())
+
+    want = rows(catalog.vector_sums(exact))
+    assert rows(catalog.settled_sums(vectors, g, weights)) == want
+    moved = lambda by: vectors.withColumn("embedding", F.transform("embedding", lambda v: F.transform(v, lambda x: x + by)))
+    assert rows(catalog.settled_sums(moved(4e-4), g, weights)) == want
+    far = moved(0.25)
+    assert rows(catalog.settled_sums(far, g, weights)) == rows(catalog.vector_sums(E.unpack_embeddings(far))) != want
+    assert rows(catalog.settled_sums(vectors, g.where("false"), weights)) == rows(catalog.vector_sums(E.unpack_embeddings(vectors)))
+    # Residues in another order, and one that the other side has not.
+    turned = vectors.withColumns({c: F.reverse(c) for c in ("residue_index", "embedding")})
+    assert rows(catalog.settled_sums(turned, g, weights)) == want
+    strange = vectors.withColumn("residue_index", F.transform("residue_index", lambda r: r + 100))
+    assert rows(catalog.settled_sums(strange, g, weights)) == rows(catalog.vector_sums(E.unpack_embeddings(strange)))
+
+
+def test_arrivals_without_a_repeated_id_are_not_joined(records):
+    g = G.build_graphs(records(MOLECULES)).withColumns({"dataset": F.lit("a"), "shard_id": F.lit(0).cast("long")})
+    new, rejects = split_seen(g, None)
+    assert "Join" not in new._jdf.queryExecution().executedPlan().toString()
+    assert new.columns == g.columns and new.count() == g.count() and rejects.isEmpty()
+    new, rejects = split_seen(g, g.where("graph_id = 'b'"))
+    assert new.columns == g.columns and new.count() == g.count() - 1
+    assert [tuple(r) for r in rejects.collect()] == [("b", "a", "duplicate_identifier")]
