@@ -224,6 +224,12 @@ def test_vectors_are_compared_by_graph_and_never_broadcast(spark, records):
     assert rows(catalog.settled_sums(turned, g, weights)) == want
     strange = vectors.withColumn("residue_index", F.transform("residue_index", lambda r: r + 100))
     assert rows(catalog.settled_sums(strange, g, weights)) == rows(catalog.vector_sums(E.unpack_embeddings(strange)))
+    # Of ids that repeat, each vector meets each of its residue.
+    twice = vectors.unionByName(vectors.where("graph_id = 'b'"))
+    doubled = [(*r[:1], *(4 * x for x in r[1:])) if r[0] == "b" else r for r in want]
+    for given in (twice, E.collect_matrix(E.unpack_embeddings(twice))):
+        found = rows(catalog.settled_sums(given, g.unionByName(g.where("graph_id = 'b'")), weights))
+        assert [r[:2] for r in found] == [r[:2] for r in doubled]
 
 
 def test_arrivals_without_a_repeated_id_are_not_joined(records):
